@@ -189,3 +189,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def _sizes(p: str, q: str, percent: int):
     """Two sets of such sizes can reach the similarity."""
     return (100 * F.least(p, q)) >= (percent * F.greatest(p, q))
+
+
+def drop_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs without the documents of a group beyond its smallest doc_id; of repeated rows of that id one stays.
+
+    Only the ids that go are joined; rows of null doc_id stay.
+    """
+    found = stash(near_duplicates(docs, words, percent), "near")
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1")
+    if twice.isEmpty():
+        return rest
+    again = rest.join(twice.select("doc_id"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return rest.join(twice.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).unionByName(again)

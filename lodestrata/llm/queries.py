@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bpe, minhash
+from lodestrata.llm import bpe, minhash, mixing, pii, quality, suffix_tree, topk
 from lodestrata.llm.shared import table
 
 
@@ -19,5 +19,30 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_minhash_dedup)}
-ORACLE: dict[str, str] = {}
+def op5_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_tokens").alias("n_tokens"), F.col("_topic").alias("topic"), F.round("_probability", 6).alias("probability"), F.col("_kept").alias("kept"))
+
+
+def op8_topk_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", topk.K)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_byte_bpe, op4_minhash_dedup, op5_suffix_tree_score, op7_mixing, op8_topk_inner_product, op9_quality, op10_pii)
+}
+#: Where SQL can express the result. op1, op2, op4, op5, op9 and op10 are tested against brute force in tests/llm.
+ORACLE = {"op7_mixing": mixing.oracle(), "op8_topk_inner_product": topk.ORACLE}
