@@ -27,7 +27,7 @@ RULES = [
     ("symbols", "symbols", 0.10, 0.03, 1),
     ("capitals", "capitals", 0.50, 0.20, 1),
     ("exclamations", "exclaims", 0.20, 0.05, 1),
-    ("repeated windows", "repeats", 0.15, 0.05, 20),
+    ("repeated windows", "repeats", 0.27, 0.10, 20),
     ("duplicate lines", "dup_lines", 0.30, 0.10, 20),
     ("stutter", "stutter", 0.10, 0.03, 10),
     ("separators", "no_letters", 0.15, 0.05, 1),
