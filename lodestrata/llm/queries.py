@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bpe, minhash, mixing, pii, quality, suffix_tree, topk
+from lodestrata.llm import bpe, html_extract, minhash, mixing, pii, quality, quotes, sharding, suffix_tree, topk
 from lodestrata.llm.shared import table
 
 
@@ -15,6 +15,14 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ["doc_id"])
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.stored(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -23,6 +31,11 @@ def op5_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(table(spark, sf_dir, "documents"))
 
 
+def op6_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quotes.link(table(spark, sf_dir, "conversations"))
+    return out.withColumn("text_md5", F.md5(F.col("text").cast("binary"))).drop("text")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_tokens").alias("n_tokens"), F.col("_topic").alias("topic"), F.round("_probability", 6).alias("probability"), F.col("_kept").alias("kept"))
@@ -42,7 +55,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_byte_bpe, op4_minhash_dedup, op5_suffix_tree_score, op7_mixing, op8_topk_inner_product, op9_quality, op10_pii)
+    for f in (
+        op1_byte_bpe,
+        op2_html_text,
+        op3_sharding,
+        op4_minhash_dedup,
+        op5_suffix_tree_score,
+        op6_quote_linking,
+        op7_mixing,
+        op8_topk_inner_product,
+        op9_quality,
+        op10_pii,
+    )
 }
-#: Where SQL can express the result. op1, op2, op4, op5, op9 and op10 are tested against brute force in tests/llm.
-ORACLE = {"op7_mixing": mixing.oracle(), "op8_topk_inner_product": topk.ORACLE}
+#: Where SQL can express the result. op1, op4, op5, op9 and op10 are tested against brute force in tests/llm.
+ORACLE = {"op2_html_text": html_extract.ORACLE, "op3_sharding": sharding.ORACLE, "op6_quote_linking": quotes.ORACLE, "op7_mixing": mixing.oracle(), "op8_topk_inner_product": topk.ORACLE}
