@@ -55,7 +55,7 @@ def histogram(rows: DataFrame, *columns: str) -> DataFrame:
 SEVERITY = {"high": 0, "medium": 1, "low": 2}
 
 
-def by_severity(rows: DataFrame, severity: str = "severity") -> Column:
+def by_severity(severity: str = "severity") -> Column:
     """Rank of a severity, the highest first."""
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv]), F.col(severity)), F.lit(len(SEVERITY)))
 
