@@ -4,11 +4,13 @@ One permutation (sigma) spreads a document's shingles over 2^32 places; a second
 ..., K, gives all K coordinates: min over v of pi(sigma(v) - k mod 2^32). Both are bijections computed by multiply and
 xor-shift. Bands of R coordinates nominate pairs; every pair is confirmed on the full shingle sets before it links.
 
-No bucket is expanded into all its pairs. Documents with the same set are one class first. Then each bucket's smallest
-class is compared with the others (a star), which joins nearly all of a large group; what remains are buckets that
-still hold several components, and only their cross-component pairs whose one-bit sketches agree enough are compared.
-So the pairs tested are all that could change a component. A pair at similarity 0.8 shares no band with probability
-(1 - 0.8^4)^32 < 5e-8.
+No bucket is expanded into all its pairs. Documents with the same set are one class first. Then each bucket draws a leader
+that the others are compared with (a star); as each document meets another leader in each of its buckets, this joins
+nearly all of a large group. What remains are pairs of different components in one bucket. Where they lie in one cluster
+(joined by stars at half the similarity), the members outside the cluster's largest component are compared with all its
+members, in blocks of bounded size over as many tasks as there are blocks, and only links leave a block; pairs of
+different clusters whose one-bit sketches agree enough are confirmed one by one. So all that could change a component is
+tested. A pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^32 < 5e-8.
 
 Documents without words (null or empty text, only white space) have an empty set, link with nothing and stay. Rows with
 the same doc_id share a component. Rows of null doc_id have a null component and stay. Other columns are ignored.
@@ -19,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +30,10 @@ from lodestrata.llm import textkernel as tk
 from lodestrata.llm.shared import components, stash
 
 BANDS, ROWS = 32, 4
+#: Stars from this part of the wanted similarity on make clusters.
+CLOSE = 0.6
+#: A block of a cluster holds about so many rows and shingles at most.
+BLOCK_ROWS, BLOCK_ITEMS = 1024, 400_000
 #: Of 128 one-bit coordinates, those that agree at similarity s number 64 (1 + s) on average; 5 deviations below that.
 SKETCH_AGREE = 64 * (1 + 0.8) - 5 * (128 * 0.9 * 0.1) ** 0.5
 
@@ -121,17 +128,87 @@ def full_sets(texts: DataFrame, n: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "h0 long, items array<long>")
 
 
-def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose full sets have 100 * common >= percent * union."""
-    need = pairs.select(F.col("a").alias("h0")).union(pairs.select(F.col("b").alias("h0"))).distinct()
+def sets_of(docs: DataFrame, classes: DataFrame, need: DataFrame, n: int) -> DataFrame:
+    """h0 and the full set of the classes in `need` (h0)."""
     ids = classes.select("h0", F.col("rep").alias("doc_id")).join(need, "h0").select("doc_id").distinct()
     sets = full_sets(docs.join(ids, "doc_id", "left_semi"), n)
-    sets = stash(sets.groupBy("h0").agg(F.first("items").alias("items")), "sets")  # a doc_id may have rows of other sets
+    return stash(sets.groupBy("h0").agg(F.first("items").alias("items")), "sets")  # a doc_id may have rows of other sets
+
+
+def compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes with linked: 100 * common >= percent * union of the full sets, and close: CLOSE of that."""
+    need = pairs.select(F.col("a").alias("h0")).union(pairs.select(F.col("b").alias("h0"))).distinct()
+    sets = sets_of(docs, classes, need, n)
     both = pairs.join(sets.select(F.col("h0").alias("a"), F.col("items").alias("x")), "a").join(
         sets.select(F.col("h0").alias("b"), F.col("items").alias("y")), "b"
     )
     both = both.select("a", "b", F.size("x").alias("p"), F.size("y").alias("q"), F.size(F.array_intersect("x", "y")).alias("c"))
-    return both.where(100 * F.col("c") >= percent * (F.col("p") + F.col("q") - F.col("c"))).select("a", "b")
+    union = F.col("p") + F.col("q") - F.col("c")
+    return stash(both.select("a", "b", (100 * F.col("c") >= percent * union).alias("linked"), (100 * F.col("c") >= CLOSE * percent * union).alias("close")), "pairs")
+
+
+def cluster_links(docs: DataFrame, classes: DataFrame, placed: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) within clusters, between members of different components; placed: h0, n_shingles, component, cluster."""
+    parts = placed.groupBy("cluster", "component").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("items"))
+    whole = parts.groupBy("cluster").agg(
+        F.max_by("component", F.struct("rows", "component")).alias("core"), F.max(F.struct("rows", "component", "items")).alias("top"), F.sum("rows").alias("rows"), F.sum("items").alias("items"), F.count("*").alias("parts")
+    )
+    blocks = lambda rows, items: F.greatest(F.ceil(rows / F.lit(BLOCK_ROWS)), F.ceil(items / F.lit(BLOCK_ITEMS)), F.lit(1)).cast("int")
+    whole = whole.where("parts > 1").select(
+        "cluster", "core", blocks(F.col("top.rows"), F.col("top.items")).alias("core_blocks"), blocks(F.col("rows") - F.col("top.rows"), F.col("items") - F.col("top.items")).alias("rest_blocks")
+    )
+    rows = placed.join(whole, "cluster").withColumn("rest", F.col("component") != F.col("core"))
+    own = F.pmod(F.xxhash64("h0"), F.when(F.col("rest"), F.col("rest_blocks")).otherwise(F.col("core_blocks"))).cast("int")
+    rows = rows.withColumn("block", own)
+    rows = stash(rows.select("cluster", "h0", "component", "rest", "block", "core_blocks", "rest_blocks"), "blocks")
+    sets = sets_of(docs, classes, rows.select("h0"), n)
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    core = rows.where("not rest").withColumn("j", upto("rest_blocks")).select("h0", "cluster", "component", F.lit(0).alias("kind"), F.col("block").alias("i"), "j", F.lit(0).alias("side"))
+    rest = rows.where("rest")
+    against = rest.withColumn("i", upto("core_blocks")).select("h0", "cluster", "component", F.lit(0).alias("kind"), "i", F.col("block").alias("j"), F.lit(1).alias("side"))
+    among = rest.withColumn("x", upto("rest_blocks")).select(
+        "h0", "cluster", "component", F.lit(1).alias("kind"), F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), (F.col("block") > F.col("x")).cast("int").alias("side")
+    )
+    tasks = core.union(against).union(among).join(sets, "h0")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        side = group["side"].to_numpy()
+        one = bool(group["kind"].iloc[0] == 1 and group["i"].iloc[0] == group["j"].iloc[0])
+        left, right = (np.arange(len(group)), np.arange(len(group))) if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        items = [np.asarray(v, np.int64) for v in group["items"]]
+        h0, component = group["h0"].to_numpy(), group["component"].to_numpy()
+        size = np.array([len(v) for v in items])
+        common = overlaps([items[k] for k in left], [items[k] for k in right])
+        linked = (100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)) & (component[left][:, None] != component[right][None, :])
+        a, b = np.nonzero(linked)
+        return pd.DataFrame({"a": h0[left[a]], "b": h0[right[b]]})
+
+    return tasks.groupBy("cluster", "kind", "i", "j").applyInPandas(run, "a long, b long").distinct()
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many items each set on the left has in common with each on the right, by products of 0/1 matrices."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not left or not right:
+        return out
+    both = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)))
+    marks = []
+    for sets in (left, right):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        flat = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(both, flat), max(0, len(both) - 1))
+        hit = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        order = np.argsort(at[hit], kind="stable")
+        marks.append((row[hit][order], at[hit][order]))
+    for lo in range(0, len(both), 4096):
+        parts = []
+        for (row, at), sets in zip(marks, (left, right), strict=True):
+            a, b = np.searchsorted(at, [lo, lo + 4096])
+            m = np.zeros((len(sets), min(4096, len(both) - lo)), np.float32)
+            m[row[a:b], at[a:b] - lo] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -148,34 +225,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     same_id = known.select("doc_id", F.col("h0").alias("b")).join(same_id, "doc_id").select("a", "b").distinct()
 
     keys = classes.select("h0", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    least = keys.groupBy("band", "key").agg(F.min(F.struct("h0", "n_shingles")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    stars = keys.join(least, ["band", "key"]).where("h0 <> head.h0").where(_sizes("n_shingles", "head.n_shingles", percent))
-    stars = stash(stars.select(F.col("head.h0").alias("a"), F.col("h0").alias("b")).distinct(), "pairs")
-    links = stash(confirm(docs, classes, stars, words, percent).union(same_id), "links")
-    found = stash(components(links), "components")
-
-    labelled = classes.join(found.withColumnRenamed("node", "h0"), "h0", "left")
-    labelled = labelled.select("h0", "n_shingles", "s0", "s1", "bands", F.coalesce("component", "h0").alias("component"))
-    keys = labelled.select("h0", "n_shingles", "s0", "s1", "component", F.posexplode("bands").alias("band", "key"))
-    mixed = keys.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key")
-    open_ = stash(keys.join(mixed, ["band", "key"]), "open")
-    x, y = open_.alias("x"), open_.alias("y")
+    # each bucket draws its own leader, so a document meets as many leaders as it has buckets
+    drawn = F.struct(F.xxhash64("h0", "band").alias("draw"), "h0", "n_shingles")
+    heads = keys.groupBy("band", "key").agg(F.min(drawn).alias("head"), F.count("*").alias("n")).where("n > 1")
+    stars = keys.join(heads, ["band", "key"]).where("h0 <> head.h0").where(_sizes("n_shingles", "head.n_shingles", percent))
+    stars = stash(stars.select(F.least("head.h0", "h0").alias("a"), F.greatest("head.h0", "h0").alias("b")).distinct(), "pairs")
+    tested = compare(docs, classes, stars, words, percent)
+    links = stash(tested.where("linked").select("a", "b").union(same_id), "links")
+    found = components(links).withColumnsRenamed({"node": "h0"})
+    near = components(tested.where("close").select("a", "b")).withColumnsRenamed({"node": "h0", "component": "cluster"})
+    placed = classes.join(found, "h0", "left").join(near, "h0", "left")
+    placed = stash(placed.withColumn("component", F.coalesce("component", "h0")).withColumn("cluster", F.coalesce("cluster", "h0")), "placed")
+    inner = cluster_links(docs, classes, placed.select("h0", "n_shingles", "component", "cluster"), words, percent)
+
+    keys = placed.select("h0", "n_shingles", "s0", "s1", "component", "cluster", F.posexplode("bands").alias("band", "key"))
+    mixed = keys.groupBy("band", "key").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo < hi").select("band", "key")
+    keys = stash(keys.join(mixed, ["band", "key"]), "open")
+    x, y = keys.alias("x"), keys.alias("y")
     agree = 128 - F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) - F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
     cross = x.join(
         y,
         (F.col("x.band") == F.col("y.band"))
         & (F.col("x.key") == F.col("y.key"))
         & (F.col("x.h0") < F.col("y.h0"))
+        & (F.col("x.cluster") != F.col("y.cluster"))
         & (F.col("x.component") != F.col("y.component"))
         & _sizes("x.n_shingles", "y.n_shingles", percent)
         & (agree >= SKETCH_AGREE),
     ).select(F.col("x.h0").alias("a"), F.col("y.h0").alias("b"))
     cross = stash(cross.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = stash(confirm(docs, classes, cross, words, percent), "links")
+    outer = compare(docs, classes, cross, words, percent).where("linked").select("a", "b")
+    more = stash(inner.union(outer), "links")
     if not more.isEmpty():
-        found = stash(components(links.union(more)), "components")
+        found = components(links.union(more)).withColumnsRenamed({"node": "h0"})
 
-    labelled = classes.select("h0", "rep").join(found.withColumnRenamed("node", "h0"), "h0", "left").select("h0", "rep", F.coalesce("component", "h0").alias("component"))
+    labelled = classes.select("h0", "rep").join(found, "h0", "left").select("h0", "rep", F.coalesce("component", "h0").alias("component"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = labelled.join(least, "component").select("h0", "component_id")
     out = rows.join(of_class, "h0", "left").select(
