@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +29,42 @@ def nesting(rows: DataFrame, member: str, order: list[str], step: str) -> DataFr
 def branch_ends(rules: DataFrame, member: str, ordinal: str, depth: str, header: str) -> DataFrame:
     """Header rows with body_end: the ordinal before the first later row that is shallower, or a header at the same depth.
 
-    Null where the body runs to the member's end. One equi-join on the member, reduced by a grouped minimum.
+    Null where the body runs to the member's end. Members are read backwards in order, and a stack holds only the rows
+    that can still end a body, so the work is linear in a member and the state is as deep as its nesting.
     """
-    h = rules.where(F.col(header)).select(F.col(member).alias("_m"), F.col(ordinal).alias("_o"), F.col(depth).alias("_d"))
-    later = h.join(rules, (rules[member] == h["_m"]) & (rules[ordinal] > h["_o"]), "left")
-    ends = (F.col(depth) < F.col("_d")) | ((F.col(depth) == F.col("_d")) & F.col(header))
-    out = later.groupBy("_m", "_o", "_d").agg((F.min(F.when(ends, F.col(ordinal))) - 1).alias("body_end"))
-    return out.select(F.col("_m").alias(member), F.col("_o").alias(ordinal), F.col("_d").alias(depth), "body_end")
+    rows = rules.select(member, F.col(ordinal).cast("long").alias(ordinal), F.col(depth).cast("long").alias(depth), header)
+    rows = rows.repartition(member).sortWithinPartitions(member, F.desc(ordinal))
+    kind = dict(rows.dtypes)[member]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: object = run  # no member yet
+        stack: list[tuple[int, int]] = []  # (least depth that the row ends, ordinal), the nearest last
+        for batch in batches:
+            out = []
+            for m, o, d, h in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if m != now:
+                    now, stack = m, []
+                if h:
+                    while stack and stack[-1][0] > d:
+                        stack.pop()
+                    out.append((m, o, d, stack[-1][1] - 1 if stack else None))
+                ends = d if h else d + 1
+                while stack and stack[-1][0] >= ends:
+                    stack.pop()
+                stack.append((ends, o))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in out], batch.schema.field(0).type), *[pa.array([r[k] for r in out], pa.int64()) for k in (1, 2, 3)]], names=[member, ordinal, depth, "body_end"]
+            )
+
+    return rows.mapInArrow(run, f"`{member}` {kind}, `{ordinal}` long, `{depth}` long, body_end long")
+
+
+def branch_excerpts(ends: DataFrame, lines: DataFrame, member: str, ordinal: str, line_no: str, text: str) -> DataFrame:
+    """The source of each body (member, ordinal, body_end), joined by line ends; empty for a body without lines."""
+    span = ends.where(F.col("body_end") > F.col(ordinal)).select(member, ordinal, F.explode(F.sequence(F.col(ordinal) + 1, F.col("body_end"))).alias(line_no))
+    body = span.join(lines.select(member, line_no, text), [member, line_no]).groupBy(member, ordinal)
+    body = body.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(line_no, text))), lambda x: x[text]), "\n").alias("excerpt"))
+    return ends.join(body, [member, ordinal], "left").withColumn("excerpt", F.coalesce("excerpt", F.lit("")))
 
 
 def leading_comments(lines: DataFrame, member: str, order: str, is_comment: Column) -> DataFrame:
