@@ -86,3 +86,13 @@ def condition_facts(condition: Column, noise: list[str]) -> tuple[Column, Column
     names = F.array_distinct(F.filter(words, lambda w: ~w.isin(noise)))
     literals = F.array_distinct(F.regexp_extract_all(condition, F.lit(r"'[^']*'|\"[^\"]*\"|[0-9]+(?:\.[0-9]+)?"), F.lit(0)))
     return F.array_join(names, ","), F.array_join(literals, ",")
+
+
+#: File endings of the generated code's languages.
+ENDINGS = {"java": ".java", "python": ".py", "csharp": ".cs", "javascript": ".js"}
+
+
+def sidecar_path(path: Column, language: Column) -> Column:
+    """The document's path with the language's ending; the path itself for an unknown language."""
+    ending = F.try_element_at(F.create_map(*[F.lit(x) for kv in ENDINGS.items() for x in kv]), language)
+    return F.when(ending.isNull(), path).otherwise(F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), ending))

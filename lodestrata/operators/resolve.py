@@ -112,3 +112,22 @@ def closure(edges: DataFrame, root, max_depth: int = 12, source: str = "src", ta
             break
         seen = seen.unionByName(front)
     return seen
+
+
+def closures(edges: DataFrame, roots: DataFrame, max_depth: int = 12, source: str = "src", target: str = "dst") -> DataFrame:
+    """(member, node, depth) for every member in `roots`: its reachable nodes, cycles passed once, all members in one frontier."""
+    from lodestrata.plans.materialise import cut
+
+    e = edges.select(F.col(source).alias("_s"), F.col(target).alias("_t")).where("_t is not null").distinct()
+    seen = None
+    front = roots.select("member", F.col("member").alias("node")).distinct()
+    for depth in range(1, max_depth + 1):
+        step = front.join(e, front["node"] == e["_s"]).select("member", F.col("_t").alias("node")).distinct()
+        if seen is not None:
+            step = step.join(seen.select("member", "node"), ["member", "node"], "left_anti")
+        front = cut(step.withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
+            break
+        seen = front if seen is None else seen.unionByName(front)
+        front = front.select("member", "node")
+    return seen if seen is not None else front.select("member", "node", "depth")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as tx
-from lodestrata.operators import measures, scanners, testplan
+from lodestrata.operators import measures, resolve, scanners, structure, testplan, validate
 from lodestrata.plans import reports
 from lodestrata.plans.queries import ACCESSES, accesses, edges, parts, query, table
 from lodestrata.sources import corpus
@@ -178,3 +178,59 @@ def S10_member_names(spark, d):
     path = F.concat(F.lit("/src/d"), F.col("doc_id"), F.when(F.col("doc_id") % 2 == 0, ".nsp.txt").otherwise(".jcl"))
     name, hint = corpus.member_name(path)
     return table(spark, d, "documents").select("doc_id", name.alias("name"), hint.alias("hint"))
+
+
+@query("select event_id as gap, event_type as kind from events where value > 66 order by event_type, event_id limit 200")
+def W05_top_high_gaps(spark, d):
+    e = table(spark, d, "events").where("value > 66").select(F.col("event_id").alias("gap"), F.col("event_type").alias("kind"))
+    return e.orderBy("kind", "gap").limit(200)
+
+
+@query("""with l as (select doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1)::bigint as line_no, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents),
+e as (select doc_id, 1::bigint as ordinal, doc_id % 6 as body_end from documents)
+select e.doc_id, ordinal, coalesce(string_agg(line, chr(10) order by line_no), '') as excerpt from e left join l on l.doc_id = e.doc_id and line_no > ordinal and line_no <= body_end group by 1, 2""")
+def W03_branch_excerpts(spark, d):
+    docs = table(spark, d, "documents")
+    ends = docs.select("doc_id", F.lit(1).cast("long").alias("ordinal"), (F.col("doc_id") % 6).alias("body_end"))
+    out = structure.branch_excerpts(ends, corpus.lines(docs, "doc_id", "text"), "doc_id", "ordinal", "line_no", "line")
+    return out.select("doc_id", "ordinal", "excerpt")
+
+
+@query("select doc_id, case when doc_id % 3 = 0 then 'sources' when doc_id % 3 = 1 then '' else 'title,doc_type,sources' end as missing from documents")
+def V01_front_matter(spark, d):
+    head = F.when(F.col("doc_id") % 3 == 0, "---\ntitle: x\ndoc_type: y\n---\nbody").when(F.col("doc_id") % 3 == 1, "---\ntitle: x\ndoc_type: y\nsources: z\n---\n").otherwise("no block: here")
+    _, missing = validate.front_matter(head, ["title", "doc_type", "sources"])
+    return table(spark, d, "documents").select("doc_id", F.array_join(missing, ",").alias("missing"))
+
+
+@query("select doc_id, case when doc_id % 3 = 0 then 'The total is kept.' else '' end as uncited from documents")
+def V05_uncited_assertions(spark, d):
+    text = F.when(F.col("doc_id") % 3 == 0, "# Title\nThe total is kept. The rest is cited [[A:1]].").when(F.col("doc_id") % 3 == 1, "The total is unclear.\n| The cell |").otherwise("- when it ends [[B]]\nPlain words.")
+    return table(spark, d, "documents").select("doc_id", F.array_join(validate.uncited(validate.logical_units(text)), ";").alias("uncited"))
+
+
+@query("select doc_id, 'D' || doc_id || ':BR-' || doc_id % 9 as refs from documents")
+def V06_scenario_refs(spark, d):
+    text = F.format_string("see D%d:BR-%d, not (xD:BR-) or D%d:BR-%d again", F.col("doc_id"), F.col("doc_id") % 9, F.col("doc_id"), F.col("doc_id") % 9)
+    return table(spark, d, "documents").select("doc_id", F.array_join(validate.scenario_refs(text), ",").alias("refs"))
+
+
+@query("""with recursive e as (select p_partkey as src, p_partkey // 2 as dst from part where p_partkey > 1), r(member, node, depth) as (select src, dst, 1 from e where src % 50 = 0 union all select member, e.dst, depth + 1 from r join e on r.node = e.src where depth < 12)
+select member, node, min(depth) as depth from r where node > 0 group by 1, 2""")
+def J11_include_closure(spark, d):
+    p = table(spark, d, "part").where("p_partkey > 1")
+    e = p.select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).cast("long").alias("dst"))
+    return resolve.closures(e, e.where("src % 50 = 0").select(F.col("src").alias("member")), 12).where("node > 0")
+
+
+@query("select doc_id, upper(text) like '%MAP%' as is_map, case when n_chars > 3000 then 'subprogram' when text like '%the%' then 'subroutine' else 'program' end as object_type from documents")
+def S13_object_type(spark, d):
+    rules_ = [("subprogram", F.col("n_chars") > 3000), ("subroutine", F.contains("text", F.lit("the")))]
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.contains(F.upper("text"), F.lit("MAP")).alias("is_map"), corpus.object_type(rules_).alias("object_type"))
+
+
+@query("select doc_id, '/out/D' || doc_id || case lang when 'en' then '.java' when 'de' then '.py' when 'fr' then '.cs' else '.md' end as path from documents")
+def F14_sidecar_paths(spark, d):
+    language = F.when(F.col("lang") == "en", "java").when(F.col("lang") == "de", "python").when(F.col("lang") == "fr", "csharp")
+    return table(spark, d, "documents").select("doc_id", tx.sidecar_path(F.concat(F.lit("/out/D"), F.col("doc_id"), F.lit(".md")), language).alias("path"))

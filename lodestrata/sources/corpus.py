@@ -124,3 +124,8 @@ def member_name(path: Column) -> tuple[Column, Column]:
     first = F.lower(F.regexp_extract(chain, rf"(?i)\.({bearing})(?=\.|$)", 1))
     table = F.create_map(*[F.lit(x) for e, d in EXTENSIONS.items() if d for x in (e, d)])
     return name, F.try_element_at(table, first)
+
+
+def object_type(rules: list[tuple[str, Column]], default: str = "program") -> Column:
+    """The type of the first rule that holds."""
+    return F.coalesce(*[F.when(test, F.lit(name)) for name, test in rules], F.lit(default))
