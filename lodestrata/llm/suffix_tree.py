@@ -29,7 +29,7 @@ from lodestrata.llm import textkernel as tk
 from lodestrata.llm.shared import stash
 
 DEPTH, DISCOUNT, THETA = 5, 0.8, 2.0
-MOST_ENTRIES, MOST_WORDS = 3_000_000, 1_000_000
+MOST_ENTRIES, MOST_WORDS = 2_000_000, 1_000_000
 START, BLANK, END = 0x0A, 0x20, 0x0D
 END_WORD = np.uint64(1)
 #: Counts up to this go by their own value, larger ones by steps of an eighth of a doubling, to find the words to broadcast.
@@ -159,13 +159,16 @@ class Tree:
         self.levels = levels
 
     @staticmethod
-    def of(rows: pd.DataFrame) -> "Tree":
+    def of(entries: DataFrame) -> "Tree":
+        """The tree of entry rows, fetched level by level as Arrow columns."""
         levels = []
         for k in range(DEPTH + 1):
-            part = rows[rows["level"] == k].sort_values("key")
-            keys = part["key"].to_numpy(np.int64).view(np.uint64)
+            part = entries.where(F.col("level") == k).select("key", "p", "rest").toArrow()
+            key, p, rest = (part[c].to_numpy() for c in ("key", "p", "rest"))
+            order = np.argsort(key)
+            keys = key[order].view(np.uint64)
             states, first = np.unique(keys >> np.uint64(8), return_index=True)
-            levels.append((states, part["rest"].to_numpy()[first], keys, part["p"].to_numpy()))
+            levels.append((states, rest[order][first], keys, p[order]))
         return Tree(levels)
 
     def score(self, keys: np.ndarray) -> np.ndarray:
@@ -193,7 +196,7 @@ def fit(grams: DataFrame) -> Tree:
     while True:
         entries = stash(grow(grams, theta), "tree")
         if entries.count() <= MOST_ENTRIES:
-            return Tree.of(entries.toPandas())
+            return Tree.of(entries)
         theta *= 2
 
 
@@ -213,8 +216,11 @@ def score(docs: DataFrame) -> DataFrame:
         if held > MOST_WORDS:
             break
         least = r["step"]
-    often = words.where(step >= F.lit(least if least is not None else 1 << 30)).toPandas().sort_values("key", ignore_index=True)
-    known, n_known = often["key"].to_numpy(np.int64), often["n"].to_numpy(np.int64)
+    often = words.where(step >= F.lit(least if least is not None else 1 << 30)).toArrow()
+    known, n_known = often["key"].to_numpy(), often["n"].to_numpy()
+    order = np.argsort(known)
+    known, n_known = known[order], n_known[order]
+    del often
     bottom = n_all + 0.5 * (v_all + 1)
     shipped = docs.sparkSession.sparkContext.broadcast((tree.levels, known, n_known))
 
