@@ -7,9 +7,10 @@ predicts: their log-likelihood gain must reach THETA nats for each distinct next
 is smoothed by taking DISCOUNT off every count and giving that mass to the shorter state's distribution (at the root, to
 the even distribution over 256 symbols). Each symbol of a text is scored in its longest suffix state.
 
-The tree is a capacity of at most MOST_ENTRIES (context, symbol) entries; should a corpus give more, THETA doubles until
-they fit, so that its broadcast is bounded. Word counts for the base score have no bound: the words of greatest count,
-at most MOST_WORDS, are broadcast, and the other words' counts come by a join on those words alone.
+THETA is fixed: every context that reaches it is retained, however many there are, and the retained states stay in tables
+joined by key. Each distinct context with next symbol of all texts, held-out ones too, gets its log-probability there. Those
+of greatest count, at most MOST_GRAMS, are broadcast; the other ones' come by a join on those alone. Word counts for the base
+score go the same way, with MOST_WORDS. Both bounds say what is sent, not what is counted, and change no result.
 
 Training texts are those whose crc32(doc_id as text) mod 5 is not 1 (null ids train). Null texts are empty. Rows are
 scored one by one, repeated rows alike; with no training texts N and V are 0 and the tree is the even distribution.
@@ -29,10 +30,10 @@ from lodestrata.llm import textkernel as tk
 from lodestrata.llm.shared import stash
 
 DEPTH, DISCOUNT, THETA = 5, 0.8, 2.0
-MOST_ENTRIES, MOST_WORDS = 2_000_000, 1_000_000
+MOST_GRAMS, MOST_WORDS = 2_000_000, 1_000_000
 START, BLANK, END = 0x0A, 0x20, 0x0D
 END_WORD = np.uint64(1)
-#: Counts up to this go by their own value, larger ones by steps of an eighth of a doubling, to find the words to broadcast.
+#: Counts up to this go by their own value, larger ones by steps of an eighth of a doubling, to find what to broadcast.
 STEPS = 8
 
 
@@ -103,140 +104,136 @@ class Sums:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """kind (0: words, 1: contexts with next symbol), key, n: summed over all training texts."""
+    """kind (0: words of training texts, 1: contexts with next symbol of all texts), key, n in training texts, m in all counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums(), Sums()
+        words, grams, others = Sums(), Sums(), Sums()
         for batch in batches:
-            for _, _, symbols, heads, hashes, _ in streams(batch.column("text")):
-                sums[0].add(hashes)
-                sums[1].add(contexts(symbols, heads)[0])
-        for kind, s in enumerate(sums):
+            held = batch.column("held").to_numpy(zero_copy_only=False)
+            for lo, hi, symbols, heads, hashes, rows in streams(batch.column("text")):
+                apart = held[lo:hi]
+                words.add(hashes[~np.repeat(apart, np.diff(np.append(rows, len(hashes))))])
+                keys, scored = contexts(symbols, heads)
+                apart = np.repeat(apart, np.diff(np.append(heads, len(symbols))))[scored]
+                grams.add(keys[~apart])
+                others.add(keys[apart])
+        for kind, s, train in (0, words, 1), (1, grams, 1), (1, others, 0):
             s.merge()
             for lo in range(0, len(s.keys), 1 << 16):
-                k = s.keys[lo : lo + (1 << 16)]
+                k, m = s.keys[lo : lo + (1 << 16)], s.counts[lo : lo + (1 << 16)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(k), kind, np.int8)), pa.array(k.view(np.int64)), pa.array(s.counts[lo : lo + (1 << 16)])], names=["kind", "key", "n"]
+                    [pa.array(np.full(len(k), kind, np.int8)), pa.array(k.view(np.int64)), pa.array(m * train), pa.array(m)], names=["kind", "key", "n", "m"]
                 )
 
-    train = docs.where(~held_out(F.col("doc_id"))).select("text")
-    return train.mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    texts = docs.select("text", held_out(F.col("doc_id")).alias("held"))
+    return texts.mapInArrow(run, "kind byte, key long, n long, m long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
 
+def low(key: str, size: int) -> Column:
+    """The last `size` symbols of a key."""
+    return F.col(key).bitwiseAND(F.lit((1 << (8 * size)) - 1).cast("long"))
 
-def grow(grams: DataFrame, theta: float) -> DataFrame:
-    """The tree from (key, n): entries (level, key, p) of retained contexts, and with key's last byte as null state rows.
 
-    Returns level, ctx, sym, p, rest: p the probability of sym in the state ctx, rest the mass its state passes on.
+def grow(grams: DataFrame, theta: float) -> list[DataFrame]:
+    """The tree from (key, n, m): for each level all its contexts with next symbol, the context `ctx` and whether it is retained.
+
+    key, ctx, m, p, rest, keep: p the probability of key's last symbol in its longest retained state up to this level, rest the
+    mass that ctx passes on.
     """
-    even, kept = F.lit(1.0 / 256), None
-    below: DataFrame | None = None  # key and predicted probability of the level below
+    levels: list[DataFrame] = []
     for level in range(DEPTH + 1):
-        mask = (1 << (8 * (level + 1))) - 1
-        rows = grams.groupBy(F.col("key").bitwiseAND(F.lit(mask).cast("long")).alias("key")).agg(F.sum("n").alias("n"))
+        rows = grams.groupBy(low("key", level + 1).alias("key")).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
         rows = rows.withColumn("ctx", F.shiftright("key", 8))
-        if below is None:
-            rows = rows.withColumn("base", even)
+        if not levels:
+            rows = rows.withColumn("base", F.lit(1.0 / 256))
         else:
-            short = F.col("key").bitwiseAND(F.lit((1 << (8 * level)) - 1).cast("long"))
-            rows = rows.withColumn("short", short).join(below.select(F.col("key").alias("short"), F.col("p").alias("base")), "short")
-        rows = stash(rows.select("key", "ctx", "n", "base"), f"level{level}")
+            rows = rows.withColumn("short", low("key", level)).join(levels[-1].select(F.col("key").alias("short"), F.col("p").alias("base")), "short")
+        rows = stash(rows.select("key", "ctx", "n", "m", "base"), f"level{level}")
         whole = rows.groupBy("ctx").agg(F.sum("n").alias("whole"), F.count("*").alias("types"))
         rows = rows.join(whole, "ctx").withColumn("rest", F.lit(DISCOUNT) * F.col("types") / F.col("whole"))
         rows = rows.withColumn("q", F.greatest(F.col("n") - F.lit(DISCOUNT), F.lit(0.0)) / F.col("whole") + F.col("rest") * F.col("base"))
         gains = rows.groupBy("ctx").agg((F.sum(F.col("n") * F.log(F.col("q") / F.col("base"))) >= theta * F.max("types")).alias("keep"))
         rows = rows.join(gains, "ctx").withColumn("p", F.when(F.col("keep"), F.col("q")).otherwise(F.col("base")))
-        rows = stash(rows.select("key", "ctx", "p", "rest", "keep"), f"level{level}")
-        below = rows
-        part = rows.where("keep").select(F.lit(level).alias("level"), "key", "p", "rest")
-        kept = part if kept is None else kept.union(part)
-    return kept
-
-
-class Tree:
-    """Per level the retained states with their passed-on mass, and their entries, as sorted arrays."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, ...]]):
-        self.levels = levels
-
-    @staticmethod
-    def of(entries: DataFrame) -> "Tree":
-        """The tree of entry rows, fetched level by level as Arrow columns."""
-        levels = []
-        for k in range(DEPTH + 1):
-            part = entries.where(F.col("level") == k).select("key", "p", "rest").toArrow()
-            key, p, rest = (part[c].to_numpy() for c in ("key", "p", "rest"))
-            order = np.argsort(key)
-            keys = key[order].view(np.uint64)
-            states, first = np.unique(keys >> np.uint64(8), return_index=True)
-            levels.append((states, rest[order][first], keys, p[order]))
-        return Tree(levels)
-
-    def score(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of each key's last symbol after the others."""
-        out, open_ = np.zeros(len(keys)), np.arange(len(keys))
-        for level in range(DEPTH, -1, -1):
-            states, rest, entries, p = self.levels[level]
-            if not len(states) or not len(open_):
-                continue
-            key = keys[open_] & np.uint64((1 << (8 * (level + 1))) - 1)
-            s = np.minimum(np.searchsorted(states, key >> np.uint64(8)), len(states) - 1)
-            here = states[s] == key >> np.uint64(8)
-            e = np.minimum(np.searchsorted(entries, key), len(entries) - 1)
-            hit = here & (entries[e] == key)
-            out[open_[hit]] += np.log10(p[e[hit]])
-            miss = here & ~hit
-            out[open_[miss]] += np.log10(rest[s[miss]])
-            open_ = open_[~hit]
-        out[open_] += np.log10(1 / 256)
-        return out
-
-
-def fit(grams: DataFrame) -> Tree:
-    theta = THETA
-    while True:
-        entries = stash(grow(grams, theta), "tree")
-        if entries.count() <= MOST_ENTRIES:
-            return Tree.of(entries)
-        theta *= 2
+        levels.append(stash(rows.select("key", "ctx", "m", "p", "rest", "keep"), f"level{level}"))
+    return levels
+
+
+def logs(grams: DataFrame) -> DataFrame:
+    """key, m, log: log10 probability of the last symbol of each key of (key, n, m); n is 0 for keys no training text has."""
+    levels = grow(grams.where("n > 0"), THETA)
+    # a key of the training texts has all its suffixes there, so the last level has its probability
+    seen = levels[DEPTH].select("key", "m", F.log10("p").alias("log"))
+    out = grams.where("n = 0").select("key", "m", F.lit(0.0).alias("log"), F.lit(None).cast("double").alias("p"))
+    for level in range(DEPTH, -1, -1):
+        small = F.broadcast if level < 2 else (lambda t: t)  # at most 65,536 rows
+        if level < DEPTH:
+            entries = levels[level].select(F.col("key").alias("_key"), F.col("p").alias("_p"))
+            out = out.join(small(entries), low("key", level + 1) == F.col("_key"), "left").withColumn("p", F.coalesce("p", "_p")).drop("_key", "_p")
+        states = levels[level].where("keep").groupBy(F.col("ctx").alias("_ctx")).agg(F.first("rest").alias("_rest"))
+        out = out.join(small(states), F.shiftright(low("key", level + 1), 8) == F.col("_ctx"), "left")
+        passed = F.when(F.col("p").isNull() & F.col("_rest").isNotNull(), F.log10("_rest")).otherwise(0.0)
+        out = out.withColumn("log", F.col("log") + passed).drop("_ctx", "_rest")
+    out = out.select("key", "m", (F.col("log") + F.log10(F.coalesce("p", F.lit(1.0 / 256)))).alias("log"))
+    return seen.unionByName(out)
+
+
+def common(rows: DataFrame, count: str, most: int) -> Column:
+    """Which rows are of the greatest counts, at most `most` of them."""
+    n = F.col(count)
+    step = F.when(n <= 16, n).otherwise(16 + F.floor(STEPS * F.log2(n / 16.0))).cast("int")
+    sizes = rows.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
+    least, held = None, 0
+    for r in sizes:  # some hundred steps at most
+        held += r["count"]
+        if held > most:
+            break
+        least = r["step"]
+    return step >= F.lit(least if least is not None else 1 << 30)
+
+
+def fetched(rows: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """The keys in order, and their values."""
+    part = rows.select("key", value).toArrow()
+    keys, values = part["key"].to_numpy(), part[value].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The value of each key, 0 if it is not known, and whether it is."""
+    if not len(known):
+        return np.zeros(len(keys), values.dtype), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    hit = known[at] == keys
+    return np.where(hit, values[at], 0), hit
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     counts = stash(counted(docs), "counts")
-    tree = fit(counts.where("kind = 1").select("key", "n"))
+    grams = stash(logs(counts.where("kind = 1").select("key", "n", "m")), "logs")
     words = counts.where("kind = 0").select("key", "n")
     total = words.agg(F.sum("n"), F.count("*")).first()
     n_all, v_all = int(total[0] or 0), int(total[1])
-    step = F.when(F.col("n") <= 16, F.col("n")).otherwise(16 + F.floor(STEPS * F.log2(F.col("n") / 16.0))).cast("int")
-    sizes = words.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
-    least, held = None, 0
-    for r in sizes:  # some hundred steps at most
-        held += r["count"]
-        if held > MOST_WORDS:
-            break
-        least = r["step"]
-    often = words.where(step >= F.lit(least if least is not None else 1 << 30)).toArrow()
-    known, n_known = often["key"].to_numpy(), often["n"].to_numpy()
-    order = np.argsort(known)
-    known, n_known = known[order], n_known[order]
-    del often
+    often, often_grams = common(words, "n", MOST_WORDS), common(grams, "m", MOST_GRAMS)
     bottom = n_all + 0.5 * (v_all + 1)
-    shipped = docs.sparkSession.sparkContext.broadcast((tree.levels, known, n_known))
+    shipped = docs.sparkSession.sparkContext.broadcast((*fetched(words.where(often), "n"), *fetched(grams.where(often_grams), "log")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, known, n_known = shipped.value
-        tree = Tree(levels)
+        known, n_known, known_grams, log_grams = shipped.value
         for batch in batches:
             for lo, hi, symbols, heads, hashes, rows in streams(batch.column("text")):
                 keys, scored = contexts(symbols, heads)
-                codes, unique = pd.factorize(keys)
+                codes, unique = pd.factorize(keys.view(np.int64))
+                value, hit = looked_up(unique, known_grams, log_grams)
                 log = np.zeros(len(symbols))
-                log[scored] = tree.score(unique)[codes]
+                log[scored] = value[codes]
+                lost = np.flatnonzero(~hit[codes])
+                rare_grams = unique[codes[lost]]
+                cut_grams = np.searchsorted(np.flatnonzero(scored)[lost], np.append(heads, len(symbols)))
                 codes, unique = pd.factorize(hashes.view(np.int64))
-                at = np.minimum(np.searchsorted(known, unique), max(0, len(known) - 1))
-                hit = known[at] == unique if len(known) else np.zeros(len(unique), bool)
-                c = np.where(hit, n_known[at] if len(known) else 0, 0)
+                c, hit = looked_up(unique, known, n_known)
                 base = np.where(hit, np.log10((c + 0.5) / bottom), 0.0)[codes]
                 found = hit[codes]
                 rare = np.flatnonzero(~found)
@@ -249,20 +246,22 @@ def score(docs: DataFrame) -> DataFrame:
                         pa.array(np.add.reduceat(base, rows)),
                         pa.array(np.add.reduceat(log, heads)),
                         tk.nested([hashes[rare[a:b]].view(np.int64) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.int64()),
+                        tk.nested([rare_grams[a:b] for a, b in zip(cut_grams[:-1].tolist(), cut_grams[1:].tolist(), strict=True)], pa.int64()),
                     ],
-                    names=["doc_id", "n_tokens", "n_known", "base", "score", "rare"],
+                    names=["doc_id", "n_tokens", "n_known", "base", "score", "rare", "rare_grams"],
                 )
 
     kind = dict(docs.dtypes)["doc_id"]
-    part = docs.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base double, score double, rare array<long>")
+    part = docs.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base double, score double, rare array<long>, rare_grams array<long>")
     part = stash(part.withColumn("row", F.monotonically_increasing_id()), "scored")  # written once, so the numbers hold
     rare = part.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("m"))
-    rest = words.where(step < F.lit(least if least is not None else 1 << 30))
-    rare = rare.join(rest, "key", "left").groupBy("row").agg(
+    rare = rare.join(words.where(~often), "key", "left").groupBy("row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("more_known"),
         F.sum(F.col("m") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(bottom))).alias("more"),
     )
-    out = part.drop("rare").join(rare, "row", "left")
+    tail = part.select("row", F.explode("rare_grams").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
+    tail = tail.join(grams.where(~often_grams).select("key", "log"), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("more_score"))
+    out = part.drop("rare", "rare_grams").join(rare, "row", "left").join(tail, "row", "left")
     return out.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
@@ -270,5 +269,5 @@ def score(docs: DataFrame) -> DataFrame:
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )

@@ -172,6 +172,19 @@ def test_suffix_tree(spark, monkeypatch):
     assert suffix_tree.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_suffix_tree_keeps_every_state_that_passes(spark, monkeypatch):
+    """With room for far fewer entries than the tree has, nothing is dropped: the rest comes by the join."""
+    monkeypatch.setattr(suffix_tree, "MOST_GRAMS", 20, raising=False)
+    monkeypatch.setattr(suffix_tree, "MOST_ENTRIES", 20, raising=False)  # the cap as it was
+    r = random.Random(9)
+    rows = [(k, " ".join(r.choice(["tari", "mone", "kuta", "rimo", "nexa"]) + r.choice("abcdeé") for _ in range(r.randint(3, 60)))) for k in range(50)] + [(51, None), (52, "Ω unseen Ωω")]
+    got = suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    stream = lambda t: b"\n" * suffix_tree.DEPTH + b"".join(w.encode() + b" " for w in words(t)) + b"\r"
+    levels = brute_tree([stream(t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1])
+    assert sum(s[:-1] in keep for keep, p, _ in levels for s in p) > 100
+    assert {x.doc_id: round(x.score, 6) for x in got} == {i: round(brute_score(levels, stream(t)), 6) for i, t in rows}
+
+
 def test_raking_meets_the_targets(spark):
     r = random.Random(6)
     rows = [(k, " ".join(["w"] * r.randint(0, 300)), r.choice(["en", "de", None]), r.choice("sssst")) for k in range(800)] + [(None, None, None, None)]
