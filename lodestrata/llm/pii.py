@@ -5,8 +5,9 @@ windows, chosen by hash from all) and built examples of written-around forms (sp
 bracketed addresses, national phone numbers, other card separators) put into those windows, with look-alikes (dates,
 versions, hashes, amounts) as negatives. The model (some tens of KB) is then shipped to the executors.
 
-Every whole text is cut into overlapping windows at fixed places; a window with no digit, @ or bracketed "at" can hold
-none of the kinds and is not decoded. Viterbi paths are reconciled over the document: each character's label comes from
+Every whole text is cut into overlapping windows at fixed places. Each span of any kind holds a digit, @ or bracketed "at"
+(`_fits` asks for it), so decoding begins at the windows around those and goes on to both sides while the labels touch a window
+not yet decoded: the spans are those that decoding every window gives. Viterbi paths are reconciled over the document: each character's label comes from
 the window in which it lies most central, and spans are read from the joined labels. The patterns' spans always stay; a
 span of the model is added where it overlaps none, stands free of letters and digits, and has what its kind needs.
 
@@ -328,25 +329,33 @@ def fit(docs: DataFrame) -> dict[str, np.ndarray]:
 
 
 def joined_tags(tagger: Tagger, texts: list[str], most: int = 1024) -> list[dict[int, int]]:
-    """For each text the tags other than 0 by position, reconciled over its windows."""
-    where = [(k, s) for k, t in enumerate(texts) for s in starts_of(t)]
-    out: list[dict[int, int]] = [{} for _ in texts]
+    """For each text the tags other than 0 by position, reconciled over its windows; a run of tags with a trigger in it is whole."""
+    todo = [(k, s) for k, t in enumerate(texts) for s in starts_of(t)]
+    done, out = set(todo), [{} for _ in texts]
     margin = (WINDOW - STRIDE) // 2
-    for lo in range(0, len(where), most):
-        part = where[lo : lo + most]
-        ids = np.full((len(part), WINDOW), PAD, np.int64)
-        for j, (k, s) in enumerate(part):
-            e = encode(texts[k][s : s + WINDOW])
-            ids[j, : len(e)] = e
-        paths = tagger.decode(ids)
-        for j in np.flatnonzero(paths.any(axis=1)).tolist():
-            k, s = part[j]
-            a = 0 if s == 0 else margin  # a window answers for its middle; the first and last also for their ends
-            b = WINDOW if s + WINDOW >= len(texts[k]) else WINDOW - margin
-            row = paths[j]
-            for x in (np.flatnonzero(row[a:b]) + a).tolist():
-                if s + x < len(texts[k]):
-                    out[k][s + x] = int(row[x])
+    while todo:
+        after: list[tuple[int, int]] = []
+        for lo in range(0, len(todo), most):
+            part = todo[lo : lo + most]
+            ids = np.full((len(part), WINDOW), PAD, np.int64)
+            for j, (k, s) in enumerate(part):
+                e = encode(texts[k][s : s + WINDOW])
+                ids[j, : len(e)] = e
+            paths = tagger.decode(ids)
+            for j in np.flatnonzero(paths.any(axis=1)).tolist():
+                k, s = part[j]
+                a = 0 if s == 0 else margin  # a window answers for its middle; the first and last also for their ends
+                last = s + WINDOW >= len(texts[k])
+                b = WINDOW if last else WINDOW - margin
+                row = paths[j]
+                for x in (np.flatnonzero(row[a:b]) + a).tolist():
+                    if s + x < len(texts[k]):
+                        out[k][s + x] = int(row[x])
+                for beside in ([s - STRIDE] if s and row[a] else []) + ([s + STRIDE] if not last and row[b - 1] else []):
+                    if (k, beside) not in done:
+                        done.add((k, beside))
+                        after.append((k, beside))
+        todo = after
     return out
 
 

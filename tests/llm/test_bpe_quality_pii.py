@@ -144,3 +144,33 @@ def test_pii_end_to_end(spark):
     masked = {x.doc_id: x for x in pii.redact(docs, made).collect()}
     assert "[EMAIL]" in masked[3].text and "@" not in masked[3].text and masked[3].n_chars == len(masked[3].text)
     assert masked[97].text is None and masked[99].text == rows[-1][1]
+
+
+class Lettered:
+    """A tagger that calls each run of letters, dots and brackets an address, as far as its window shows it."""
+
+    def decode(self, ids):
+        inside = (ids >= 97) & (ids <= 122) | np.isin(ids, [ord(c) for c in ".[]@ "])
+        return np.where(inside, 2, 0)
+
+
+def test_long_addresses_are_whole_at_all_offsets():
+    r = random.Random(4)
+    for size in (3, 21, 34, 150):
+        for offset in range(64):
+            name = "".join(r.choice("abcdefgh") for _ in range(size))
+            item = f"{name} [at] example [dot] com"
+            text = "#" * (200 + offset) + item + "#" * 200
+            tags = pii.joined_tags(Lettered(), [text])[0]
+            assert pii.added_spans(text, tags, []) == [("email", 200 + offset, 200 + offset + len(item))]
+
+
+def test_spans_equal_decoding_every_window(monkeypatch):
+    made, examples, r = pii.Tagger(seed=3), pii.Examples(12), random.Random(6)
+    windows = [examples.placed("some words of a plain text go here and on and on, then more"[: pii.WINDOW]) for _ in range(400)]
+    ids = np.array([np.r_[pii.encode(w), np.zeros(pii.WINDOW - len(w), int)] for w, _ in windows])
+    made.train(ids, np.array([y for _, y in windows]), epochs=4)
+    texts = ["".join(r.choice([examples.email(), examples.ip(), examples.phone(), examples.card(), examples.none(), examples.letters(20, 90), " plain words "]) + r.choice(" \n") for _ in range(r.randint(0, 30))) for _ in range(60)]
+    few = [every for _, every in pii.spans_of(made, texts)]
+    monkeypatch.setattr(pii, "starts_of", lambda t: [k * pii.STRIDE for k in range(max(0, -(-(len(t) - pii.WINDOW) // pii.STRIDE)) + 1)])
+    assert few == [every for _, every in pii.spans_of(made, texts)] and sum(map(len, few)) > 100
