@@ -62,7 +62,7 @@ def by_severity(severity: str = "severity") -> Column:
 
 def calibrate(lines: DataFrame, text: str, order: list[str], top: int = 30) -> DataFrame:
     """The commonest first tokens of lines, with the first line that has each; ties by token."""
-    token = F.split(F.trim(F.col(text)), r"\s+")[0]
+    token = F.regexp_extract(text, r"(?U)^[\s\x1c-\x1f]*([^\s\x1c-\x1f]+)", 1)
     rows = lines.withColumn("_token", F.upper(token)).where("_token <> ''")
     out = rows.groupBy(F.col("_token").alias("token")).agg(F.count("*").alias("n"), F.min_by(text, F.struct(*order)).alias("sample"))
     return out.orderBy(F.desc("n"), "token").limit(top)

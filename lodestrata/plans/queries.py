@@ -108,10 +108,17 @@ LINES = "lines as (select doc_id, generate_subscripts(string_split(coalesce(text
 @query(f"""with {LINES}, t as (select *, upper(regexp_extract(line, '^[ ]*([^ ]+)', 1)) as token from lines where regexp_full_match(line, '[\\x20-\\x7E]*'))
 select token, count(*) as n, arg_min(line, (doc_id, line_no)) as sample from t where token <> '' group by token order by n desc, token limit 30""")
 def A05_calibrate(spark, d):
+    """Lines of printable ASCII only, as in the SQL; A05_calibrate_all takes every line."""
     rows = corpus.lines(table(spark, d, "documents"), "doc_id", "text").where(F.col("line").rlike("^[\\x20-\\x7E]*$"))
     return measures.calibrate(rows, "line", ["doc_id", "line_no"])
 
 
+@query()
+def A05_calibrate_all(spark, d):
+    """Every line, of any characters; upper-casing differs in SQL, so tests compare it with a plain version."""
+    return measures.calibrate(corpus.lines(table(spark, d, "documents"), "doc_id", "text"), "line", ["doc_id", "line_no"])
+
+
 @query("select count(*) as pairs, avg(case when quality = toxic then 1.0 else 0.0 end)::double as agreement from labels")
 def A06_agreement(spark, d):
     rows = table(spark, d, "labels")
