@@ -215,14 +215,27 @@ def V06_scenario_refs(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(validate.scenario_refs(text), ",").alias("refs"))
 
 
+def includes(spark, d):
+    """Each part but the first includes that of half its number."""
+    p = table(spark, d, "part").where("p_partkey > 1")
+    return p.select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).cast("long").alias("dst"))
+
+
 @query("""with recursive e as (select p_partkey as src, p_partkey // 2 as dst from part where p_partkey > 1), r(member, node, depth) as (select src, dst, 1 from e where src % 50 = 0 union all select member, e.dst, depth + 1 from r join e on r.node = e.src where depth < 12)
 select member, node, min(depth) as depth from r where node > 0 group by 1, 2""")
 def J11_include_closure(spark, d):
-    p = table(spark, d, "part").where("p_partkey > 1")
-    e = p.select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).cast("long").alias("dst"))
+    """Of every 50th member, as in the SQL; J11_include_closure_all takes each."""
+    e = includes(spark, d)
     return resolve.closures(e, e.where("src % 50 = 0").select(F.col("src").alias("member")), 12).where("node > 0")
 
 
+@query()
+def J11_include_closure_all(spark, d):
+    """Of every member."""
+    e = includes(spark, d)
+    return resolve.closures(e, e.select(F.col("src").alias("member")), 12).where("node > 0")
+
+
 @query("select doc_id, upper(text) like '%MAP%' as is_map, case when n_chars > 3000 then 'subprogram' when text like '%the%' then 'subroutine' else 'program' end as object_type from documents")
 def S13_object_type(spark, d):
     rules_ = [("subprogram", F.col("n_chars") > 3000), ("subroutine", F.contains("text", F.lit("the")))]

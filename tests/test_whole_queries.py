@@ -24,3 +24,15 @@ def test_calibrate_takes_every_line(spark, tmp_path):
                     sample.setdefault(token, line)
         want = sorted(n.items(), key=lambda x: (-x[1], x[0].encode()))[:30]
         assert [(r.token, r.n, r["sample"]) for r in core.QUERIES["A05_calibrate_all"](spark, folder).collect()] == [(t, k, sample[t]) for t, k in want]
+
+
+def test_closures_are_whole(spark, tmp_path):
+    spark.range(1, 20_001).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    n, depth, front = 20_000, {1: 0}, [1]
+    for k in range(1, 13):
+        front = sorted({t for s in front for t in ((s * 7 + 3) % n + 1, (s * 3 + 11) % n + 1)} - set(depth))
+        depth |= dict.fromkeys(front, k)
+    assert max(depth.values()) == 12
+    assert {r.node: r.depth for r in core.QUERIES["G01_call_closure_full"](spark, str(tmp_path)).collect()} == depth
+    want = {(m, m >> k, k) for m in range(2, n + 1) for k in range(1, 13) if m >> k}
+    assert {tuple(r) for r in core.QUERIES["J11_include_closure_all"](spark, str(tmp_path)).select("member", "node", "depth").collect()} == want
