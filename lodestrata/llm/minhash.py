@@ -216,6 +216,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     `docs` needs doc_id and text; shingles are `words` words long; documents link at similarity percent / 100 or more.
     """
+    if percent < 80:
+        raise ValueError(f"percent is {percent}; bands and sketches are set for 80 or more and would drop pairs below")
     docs = docs.select("doc_id", "text")
     rows = stash(sketches(docs, words), "sketches")
     known = rows.where("doc_id is not null and n_shingles > 0")

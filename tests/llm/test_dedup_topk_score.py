@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from lodestrata.llm import minhash, mixing, shared, suffix_tree, topk
 
@@ -75,6 +76,11 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_refuses_what_it_would_drop():
+    with pytest.raises(ValueError, match="80"):
+        minhash.near_duplicates(None, 5, 79)
+
+
 def test_overlaps():
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 9000, r.integers(0, 300))) for _ in range(40)]
