@@ -3,7 +3,7 @@
 The text is split by the tokenizer's pattern; each distinct piece of a batch is a row of a padded matrix, rows of like
 length together. Each round every row merges its leftmost pair of least rank: pairs are looked up in a hash table of
 all pairs of tokens that join to a token, only the two pairs beside a merge are looked up again, and rows that are done
-leave the matrix. Pieces over LONG bytes form a matrix of one row in which a round merges all places of the least
+leave the matrix. Distinct pieces are found by hash and each is compared with the remembered piece. Pieces over LONG bytes form a matrix of one row in which a round merges all places of the least
 pair, from the left, up to the first merge that makes a pair of lower rank; the result is the same.
 
 Null texts count as empty: no tokens, hashes of the empty string. The ranks (a fixed vocabulary of a few MB whatever the
@@ -23,11 +23,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lodestrata.llm.textkernel import STEP, mix, pieces, powers
+from lodestrata.llm import textkernel as tk
+from lodestrata.llm.textkernel import pieces
 
 NONE = np.iinfo(np.int32).max
 LONG = 128
-#: Distinct pieces a worker remembers; then it starts anew.
+#: Distinct pieces a worker remembers (and 16 characters for each); then it starts anew.
 CACHE = 600_000
 #: Fixed value: the pattern that has a vectorised splitter here; another pattern goes through the regex module.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -259,10 +260,11 @@ class Codec:
     def clear(self) -> None:
         self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.points, self.at, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
-        if len(self.hashes) > CACHE:
+        if len(self.counts) > CACHE or len(self.points) > 16 * CACHE:
             self.clear()
         whole = "".join(texts)
         offsets = np.cumsum([0, *map(len, texts)])
@@ -275,40 +277,38 @@ class Codec:
         else:
             spans = [(m.start() + o, m.end() + o) for t, o in zip(texts, offsets.tolist(), strict=False) for m in self.regex(t) if m.end() > m.start()]
             starts, ends = np.array(spans, np.int64).reshape(-1, 2).T
-        keys = piece_keys(points, starts, ends)
-        unique, first, code = np.unique(keys, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.hashes, unique)
-        known = np.zeros(len(unique), bool)
-        known[at < len(self.hashes)] = self.hashes[at[at < len(self.hashes)]] == unique[at < len(self.hashes)]
+        sizes = ends - starts
+        unique, first, code = np.unique(tk.word_hashes(points.view(np.uint8), 4 * starts, 4 * ends), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, unique), max(0, len(self.hashes) - 1))
+        known = self.hashes[at] == unique if len(self.hashes) else np.zeros(len(unique), bool)
         numbers = np.empty(len(unique), np.int64)
         numbers[known] = self.numbers[at[known]]
         fresh = first[~known]
         if len(fresh):
-            flat, counts = self.table.encode_rows([whole[s:e].encode("utf-8", "surrogatepass") for s, e in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)])
-            numbers[~known] = len(self.counts) + np.arange(len(fresh))
-            self.flat, self.counts = np.concatenate([self.flat, flat]), np.concatenate([self.counts, counts])
-            self.hashes = np.insert(self.hashes, at[~known], unique[~known])
-            self.numbers = np.insert(self.numbers, at[~known], numbers[~known])
-        begin = np.cumsum(self.counts) - self.counts
+            numbers[~known] = self.remember(whole, points, starts[fresh], ends[fresh])
+            spot = np.searchsorted(self.hashes, unique[~known])
+            self.hashes = np.insert(self.hashes, spot, unique[~known])
+            self.numbers = np.insert(self.numbers, spot, numbers[~known])
         codes = numbers[code]
+        # a hash only proposes a piece: each is compared with the remembered one, and the others are encoded by themselves
+        wrong = self.sizes[codes] != sizes
+        fine = np.flatnonzero(~wrong)
+        wrong[fine] = ~tk.same_bytes(points, starts[fine], self.points, self.at[codes[fine]], sizes[fine])
+        if wrong.any():
+            codes[wrong] = self.remember(whole, points, starts[wrong], ends[wrong])
+        begin = np.cumsum(self.counts) - self.counts
         cut = np.searchsorted(starts, offsets)
         return [gather(self.flat, begin[codes[a:b]], self.counts[codes[a:b]]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
-
-def piece_keys(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each piece: a polynomial over mixed code points, by prefix sums, mixed with the length."""
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + STEP, "right")))
-        lo, hi = int(starts[at]), int(ends[to - 1])
-        p, q = powers(hi - lo)
-        sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(mix(points[lo:hi].astype(np.uint64) + np.uint64(1)) * p[: hi - lo], out=sums[1:])
-        s, e = starts[at:to] - lo, ends[at:to] - lo
-        out[at:to] = mix((sums[e] - sums[s]) * q[s] + (e - s).astype(np.uint64))
-        at = to
-    return out
+    def remember(self, whole: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Encode these pieces, whatever their hashes, and keep them; returns their numbers."""
+        flat, counts = self.table.encode_rows([whole[s:e].encode("utf-8", "surrogatepass") for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
+        numbers = len(self.counts) + np.arange(len(starts))
+        self.flat, self.counts = np.concatenate([self.flat, flat]), np.concatenate([self.counts, counts])
+        sizes = ends - starts
+        self.at = np.concatenate([self.at, len(self.points) + np.cumsum(sizes) - sizes])
+        self.points, self.sizes = np.concatenate([self.points, gather(points, starts, sizes)]), np.concatenate([self.sizes, sizes])
+        return numbers
 
 
 def tokenize(docs: DataFrame, ranks_path: str, pattern: str, columns: list[str], texts: str = "text", keep_ids: bool = False) -> DataFrame:

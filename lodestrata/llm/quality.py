@@ -12,7 +12,9 @@ and extra columns change nothing; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -52,23 +54,30 @@ _LEAD = 1 - _flags(bytes(range(128, 192)))  # begins a code point
 _END = _flags(b".?!:;")
 
 
-def repeated_words(hashes: np.ndarray) -> int:
-    """Words in windows of WINDOW words that occur twice or more, the first occurrence included."""
+def repeated_words(hashes: np.ndarray, exact: Callable[[], np.ndarray]) -> int:
+    """Words in windows of WINDOW words that occur twice or more, the first occurrence included.
+
+    Window hashes propose; where two agree the windows' words, as exact() numbers them, decide.
+    """
     n = len(hashes) - WINDOW + 1
     if n < 2:
         return 0
     s = np.zeros(n, np.uint64)
     for j in range(WINDOW):
-        s = s * np.uint64(0xD6E8FEB86659FD93) + hashes[j : j + n]
-        s ^= s >> np.uint64(29)
+        s = tk.mix(s ^ hashes[j : j + n])
     order = np.argsort(s, kind="stable")
     t = s[order]
     same = t[1:] == t[:-1]
     if not same.any():
         return 0
+    ids = exact()
     twice = np.zeros(n, np.int64)
-    twice[order[1:][same]] = 1
-    twice[order[:-1][same]] = 1
+    a, b = order[:-1][same], order[1:][same]
+    if all((ids[a + j] == ids[b + j]).all() for j in range(WINDOW)):
+        twice[a] = twice[b] = 1
+    else:
+        count = Counter(ids[k : k + WINDOW].tobytes() for k in range(n))
+        twice[:] = [count[ids[k : k + WINDOW].tobytes()] > 1 for k in range(n)]
     total = np.zeros(len(hashes) + WINDOW, np.int64)
     total[WINDOW : WINDOW + n] = np.cumsum(twice)
     total[WINDOW + n :] = total[WINDOW + n - 1]
@@ -100,6 +109,9 @@ def measure(column: pa.Array) -> Iterator[tuple[int, int, dict[str, np.ndarray]]
             sums = np.concatenate([[0], np.cumsum(flag, dtype=np.int64)])
             return np.diff(sums[firsts])
 
+        def exact(a: int, b: int, data: np.ndarray = data, starts: np.ndarray = starts, ends: np.ndarray = ends, hashes: np.ndarray = hashes) -> np.ndarray:
+            return tk.exact_ids(data, starts[a:b], ends[a:b], hashes[a:b])
+
         again = np.zeros(len(hashes), bool)
         again[1:] = hashes[1:] == hashes[:-1]
         again[firsts[:-1][firsts[:-1] < len(again)]] = False
@@ -111,7 +123,7 @@ def measure(column: pa.Array) -> Iterator[tuple[int, int, dict[str, np.ndarray]]
             "n_symbols": by_row(_SYMBOL),
             "n_dup_lines": np.array([duplicate_lines(t) for t in texts], np.int64),
             "n_lines": np.array([t.count("\n") + 1 for t in texts], np.int64),
-            "n_repeat_words": np.array([repeated_words(hashes[a:b]) for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True)], np.int64),
+            "n_repeat_words": np.array([repeated_words(hashes[a:b], partial(exact, a, b)) for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True)], np.int64),
             "upper": by_row(_UPPER),
             "cased": by_row(_CASED),
             "exclaim": by_word(last == ord("!")),

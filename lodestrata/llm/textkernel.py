@@ -1,7 +1,8 @@
 """Whole-batch numpy work on the UTF-8 bytes of an Arrow string column: words, their hashes, shingles.
 
-Words are runs of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased where asked. Hashes are 64-bit polynomial
-prefix sums over a random byte table, mixed with the word's length: one pass for all words of a batch.
+Words are runs of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased where asked. A word's 64-bit hash chains its
+8-byte blocks through a keyed non-linear mix (xxh3 with a seed for long words), all words of a batch a block at a time: no
+polynomial, so no family of words collides by its shape. exact_ids() numbers words by their bytes where equality counts.
 """
 
 from __future__ import annotations
@@ -11,15 +12,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_P = np.uint64(0x9E3779B97F4A7C15)
-_PI = np.uint64(pow(int(_P), -1, 2**64))
-_pow: dict[str, np.ndarray] = {}
+_KEY = np.uint64(0x243F6A8885A308D3)
+_BLOCK = np.uint64(0x13198A2E03707344)
+#: The low bytes of a block that belong to a word of which so many bytes are left.
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes than this are hashed one by one.
+BLOCKED = 64
 STEP = 1 << 20
 
 
@@ -33,14 +37,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "p" not in _pow or len(_pow["p"]) < n:
-        one = np.ones(1, np.uint64)
-        for name, base in (("p", _P), ("q", _PI)):
-            _pow[name] = np.multiply.accumulate(np.concatenate([one, np.full(max(n, STEP), base, np.uint64)]))
-    return _pow["p"], _pow["q"]
-
-
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, null as empty, and the len + 1 offsets of its rows."""
     column = pc.fill_null(column, "").cast(pa.large_string())
@@ -83,21 +79,53 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; long inputs are taken in steps so that memory stays bounded by the longest word."""
-    out = np.empty(len(starts), np.uint64)
+    """A 64-bit hash of each word's bytes."""
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) ^ _KEY)
+    padded = np.append(np.ascontiguousarray(data), np.zeros(8, np.uint8))
+    blocks = np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))
+    live = np.flatnonzero((sizes > 0) & (sizes <= BLOCKED))
+    at, left, h = starts[live], sizes[live], out[live]
+    while len(live):
+        h = mix(h ^ mix((blocks[at] & _MASK[np.minimum(left, 8)]) + _BLOCK))
+        out[live] = h
+        on = left > 8
+        live, at, left, h = live[on], at[on] + 8, left[on] - 8, h[on]
+    for k in np.flatnonzero(sizes > BLOCKED).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes(), int(_KEY))
+    return out
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, other: np.ndarray, other_starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether each run of `sizes` items at `starts` of data equals that at `other_starts` of other."""
+    out = np.ones(len(starts), bool)
     at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + STEP, "right")))
-        lo, hi = int(starts[at]), int(ends[to - 1])
-        p, q = powers(hi - lo)
-        sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_BYTE[data[lo:hi]] * p[: hi - lo], out=sums[1:])
-        s, e = starts[at:to] - lo, ends[at:to] - lo
-        out[at:to] = mix((sums[e] - sums[s]) * q[s] + (e - s).astype(np.uint64))
+    ends = np.cumsum(sizes)
+    while at < len(starts):  # in steps, so that memory stays bounded by the longest run
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, "right")))
+        n, total = sizes[at:to], int(ends[to - 1] - (ends[at - 1] if at else 0))
+        inside = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+        differ = data[np.repeat(starts[at:to], n) + inside] != other[np.repeat(other_starts[at:to], n) + inside]
+        if differ.any():
+            out[at + np.unique(np.repeat(np.arange(to - at), n)[differ])] = False
         at = to
     return out
 
 
+def exact_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number for each word, the same for words of the same bytes only: hashes propose, bytes decide."""
+    unique, first, code = np.unique(hashes, return_index=True, return_inverse=True)
+    sizes = ends - starts
+    wrong = sizes != sizes[first][code]
+    fine = np.flatnonzero(~wrong)
+    wrong[fine] = ~same_bytes(data, starts[fine], data, starts[first][code[fine]], sizes[fine])
+    if wrong.any():  # other words of a known hash
+        numbers: dict[bytes, int] = {}
+        for k in np.flatnonzero(wrong).tolist():
+            code[k] = len(unique) + numbers.setdefault(data[starts[k] : ends[k]].tobytes(), len(numbers))
+    return code
+
+
 def shingles(hashes: np.ndarray, firsts: np.ndarray, n: int) -> list[np.ndarray]:
     """For each row its distinct n-word shingles as sorted hashes; fewer words make one shingle, no word none."""
     out = []

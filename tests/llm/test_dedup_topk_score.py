@@ -76,6 +76,22 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_large_buckets(spark, monkeypatch):
+    """Buckets of texts that share a word pair, compared in blocks."""
+    monkeypatch.setattr(minhash, "PAIRED", 2)
+    monkeypatch.setattr(minhash, "CROSS_ROWS", 8)
+    monkeypatch.setattr(minhash, "CLOSE", 1.0)  # fewer meet in clusters, so that more meet in buckets
+    r = random.Random(2)
+    rows = [(k, "in the end " + " ".join(f"w{r.randrange(9000)}" for _ in range(r.randint(1, 9)))) for k in range(60)]
+    rows += [(100 + k, t + " z") for k, t in rows[:30]] + [(200 + k, t.split(" ", 1)[1]) for k, t in rows[:20]]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    want = brute_components(rows, 2, 80)
+    assert {x.doc_id: x.component_id for x in got} == want and len(set(want.values())) < len(want)
+    sk = spark.range(50).selectExpr("1 band", "1L key", "50L n", "id h0", "10L n_shingles", "id % 5 s0", "0L s1", "id component", "id % 7 cluster")
+    pairs = {(x.a, x.b) for x in minhash.large_buckets(sk, 80).collect()}
+    assert pairs == {(a, b) for a in range(50) for b in range(a + 1, 50) if a % 7 != b % 7}
+
+
 def test_near_duplicates_refuses_what_it_would_drop():
     with pytest.raises(ValueError, match="80"):
         minhash.near_duplicates(None, 5, 79)
