@@ -5,19 +5,23 @@ neighbours in path order; the one with the longer common beginning first), the t
 longest common subsequence, and shared lines are deleted. A neighbour that shares most of the text is a copy of the page,
 not another page of the same frame, and the other neighbour is taken, or none.
 
-Differencing alone gives wrong results in two ways, so markup guards it: lines inside an <article> are never deleted
-(articles of one host do share lines), and lines whose elements say that they are menus, headers, footers, sidebars,
-notices, adverts, forms or comments are dropped also where they differ from page to page. Where a page has an article,
-or else a main element, lines outside are no part of the text.
-
-White space inside a block, line breaks (br) included, becomes one blank. Null html is empty and gives ""; a null url
-belongs to the host "". Repeated pages give repeated results: identical rows are ordered once. Other columns are ignored.
+Differencing decides what of an unmarked page is frame. Markup guards it where it alone would be wrong: lines inside an
+<article> are never deleted (articles of one host do share lines); elements that say by their name, role or class that
+they are menus, footers, forms, adverts, notices or comments are dropped also where their lines differ from page to page;
+and where a page has an article, or else a main element, lines outside are no part of the text. A class or id word does
+not drop an element that holds an article or main, nor the body.
+
+White space inside a block, line breaks (br) included, becomes one blank. Reading is linear in the page: after an attribute
+quote that is never closed, tags end at their first ">"; elements nested deeper than DEEPEST count as their parent's text.
+Null html is empty and gives ""; a null url belongs to the host "". Repeated pages give repeated results: identical rows
+are ordered once. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +35,12 @@ from lodestrata.llm.shared import in_order, stash
 
 #: Of a page's text outside articles, the share from which a neighbour counts as a copy.
 COPY = 0.8
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|xmp|svg|math|canvas|object|audio|video)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
-    re.DOTALL | re.IGNORECASE,
-)
+TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+PLAIN = re.compile(r"[^'\">]*")
+#: Elements whose content is no text or no HTML.
+RAW = frozenset("script style noscript template textarea title iframe xmp svg math canvas object audio video".split())
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in RAW}
+DEEPEST = 512
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -48,12 +51,13 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that never hold main text.
 FURNITURE = frozenset("nav footer aside form button select dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Words of class and id values (split at blanks, hyphens, underscores) that name furniture.
+#: Words of class and id values (split at blanks, hyphens, underscores) for furniture that differs from page to page.
 WORDS = frozenset(
-    "ad ads adbox adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert newsletter subscribe "
-    "subscription signup popup modal overlay sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar "
-    "comment comments commentlist disqus respond replies share sharing social related recommended recommendations trending login search skip copyright".split()
+    "ad ads adbox adsense advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice alert newsletter subscribe subscription signup "
+    "popup modal overlay comment comments commentlist disqus respond replies share sharing social related recommended recommendations trending breadcrumb breadcrumbs pagination pager".split()
 )
+#: Elements that such words do not drop.
+FRAME = frozenset("html body main article".split())
 #: An element of these closes an open one of the set, up to the given borders.
 CLOSES = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -67,90 +71,149 @@ CLOSES = {
 ARTICLE, OPEN, DROP = 0, 1, 2
 
 
-def furniture(name: str, rest: str) -> bool:
+def furniture(name: str, rest: str) -> int:
+    """2: never main text by its name, role or being hidden; 1: by a word of its class or id; 0: neither."""
     if name in FURNITURE:
-        return True
-    if not rest:
-        return False
-    for m in ATTRIBUTE.finditer(rest):
-        key, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").lower()
-        if key == "hidden" or key == "role" and value.strip() in ROLES or key == "aria-hidden" and value == "true":
-            return True
-        if key in ("class", "id") and not WORDS.isdisjoint(re.split(r"[\s_-]+", value)):
-            return True
-    return False
+        return 2
+    found = 0
+    if rest:
+        for m in ATTRIBUTE.finditer(rest):
+            key, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").lower()
+            if key == "hidden" or key == "role" and value.strip() in ROLES or key == "aria-hidden" and value == "true":
+                return 2
+            if key in ("class", "id") and name not in FRAME and not WORDS.isdisjoint(re.split(r"[\s_-]+", value)):
+                found = 1
+    return found
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(from, to, lower-case name, whether it closes, the rest of the tag) of each tag; comments and raw elements have name ""."""
+    at, last, quotes = 0, page.rfind(">"), True
+    while (lt := page.find("<", at)) >= 0 and (lt < last or page.startswith("<!--", lt)):
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = end + 3 if end >= 0 else len(page)
+            yield lt, at, "", False, ""
+            continue
+        if page[lt + 1] in "!?":
+            at = page.find(">", lt) + 1
+            yield lt, at, "", False, ""
+            continue
+        m = TAG.match(page, lt)
+        if not m:
+            at = lt + 1
+            continue
+        end = PLAIN.match(page, m.end()).end()
+        while quotes and end < len(page) and page[end] != ">":
+            close = page.find(page[end], end + 1)
+            quotes = close >= 0
+            end = PLAIN.match(page, close + 1).end()
+        if not quotes or end >= len(page):
+            quotes, end = False, page.find(">", m.end())
+        at, name, closes = end + 1, m[1].lower(), page[lt + 1] == "/"
+        rest = page[m.end() : end]
+        if name in RAW and not closes:
+            if not rest.endswith("/") or name not in ("svg", "math"):
+                stop = RAW_END[name].search(page, at)
+                close = page.find(">", stop.end()) if stop else -1
+                at = close + 1 if close >= 0 else len(page)
+            yield lt, at, "", False, ""
+        else:
+            yield lt, at, name, closes, rest
+
+
+class Element:
+    """An open element: what it is, and what its ancestors make of it."""
+
+    __slots__ = ("above", "article", "head", "header", "main", "name", "off", "words")
+
+    def __init__(self, name: str, rest: str, above: Element | None):
+        kind = furniture(name, rest)
+        self.name, self.above = name, above
+        self.words = kind == 1  # taken back if an article or main opens inside
+        self.off = kind == 2 or above is not None and above.off
+        self.main = above is not None and above.main or name == "main" or "main" in rest and bool(re.search(r"role\s*=\s*[\"']?main\b", rest, re.IGNORECASE))
+        self.article = above is not None and above.article or (name == "article" or "articleBody" in rest) and not self.off
+        self.header = name == "header" or above is not None and above.header
+        self.head = name in HEADINGS or above is not None and above.head
+        if (self.article or self.main) and not (above is not None and (above.article or above.main)):
+            while above is not None:
+                above.words = False
+                above = above.above
+
+    def dropped(self) -> bool:
+        e: Element | None = self
+        while e is not None and not e.words:
+            e = e.above
+        return self.off or e is not None
 
 
 def lines_of(page: str) -> list[tuple[str, int]]:
     """(text, ARTICLE, OPEN or DROP) of each non-empty block in page order."""
-    found: list[tuple[str, bool, bool, bool, bool]] = []  # text, furniture, header's non-heading, article, main
-    stack: list[tuple[str, bool, bool, bool, bool, bool]] = []  # name, furniture, header, article, main, heading
-    now = ("", False, False, False, False, False)
+    found: list[tuple[str, Element]] = []
+    root = Element("", "", None)
+    stack, counts = [root], Counter()
     buffer: list[str] = []
 
     def flush() -> None:
         text = " ".join("".join(buffer).split())
         buffer.clear()
         if text:
-            found.append((text, now[1], now[2] and not (now[5] and (now[3] or now[4])), now[3], now[4]))
+            found.append((text, stack[-1]))
+
+    def cut(k: int) -> None:
+        counts.subtract(x.name for x in stack[k:])
+        del stack[k:]
 
     at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            buffer.append(html.unescape(page[at : m.start()]))
-        at = m.end()
-        name = m["name"]
-        if name is None:
-            continue
-        name = name.lower()
+    for start, end, name, closes, rest in tags(page):
+        if start > at:
+            buffer.append(html.unescape(page[at:start]))
+        at = end
         if name == "br":
             buffer.append(" ")
+        if not name or name == "br":
             continue
         if name in BLOCKS:
             flush()
-        if m["end"]:
-            if any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
-                    pass
-        elif name not in VOID and not (m["rest"].endswith("/") and name not in BLOCKS):
+        if closes:
+            if counts[name] > 0:
+                cut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name))
+        elif name not in VOID and not (rest.endswith("/") and name not in BLOCKS):
             if name in BLOCKS:  # a block ends an open paragraph
-                k = len(stack) - 1
-                while k >= 0 and stack[k][0] not in BLOCKS:
-                    k -= 1
-                if k >= 0 and stack[k][0] == "p":
-                    del stack[k:]
-            if name in CLOSES:
+                k = next(k for k in range(len(stack) - 1, -1, -1) if k == 0 or stack[k].name in BLOCKS)
+                if stack[k].name == "p":
+                    cut(k)
+            if name in CLOSES and any(counts[x] > 0 for x in CLOSES[name][0]):
                 closed, border = CLOSES[name]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in border:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].name in border:
                         break
-                    if stack[k][0] in closed:
-                        del stack[k:]
+                    if stack[k].name in closed:
+                        cut(k)
                         break
-            above = stack[-1] if stack else ("", False, False, False, False, False)
-            rest = m["rest"]
-            off = above[1] or furniture(name, rest)
-            main = above[4] or name == "main" or ("main" in rest and bool(re.search(r"role\s*=\s*[\"']?main\b", rest, re.IGNORECASE)))
-            article = above[3] or (name == "article" and not off) or ("articleBody" in rest and not off)
-            stack.append((name, off, above[2] or name == "header", article, main, above[5] or name in HEADINGS))
-        else:
-            continue
-        now = stack[-1] if stack else ("", False, False, False, False, False)
+            if len(stack) <= DEEPEST:
+                stack.append(Element(name, rest, stack[-1]))
+                counts[name] += 1
     if at < len(page):
         tail = page[at:]
-        cut = re.search(r"<[a-zA-Z/!?]", tail)  # a tag that the page's end cuts off
-        buffer.append(html.unescape(tail[: cut.start()] if cut else tail))
+        open_ = re.search(r"<[a-zA-Z/!?]", tail)  # a tag that the page's end cuts off
+        buffer.append(html.unescape(tail[: open_.start()] if open_ else tail))
     flush()
-    any_article = any(x[3] and not x[1] for x in found)
-    any_main = any(x[4] and not x[1] for x in found)
+    drop: dict[int, bool] = {}
+    for _, e in found:
+        if id(e) not in drop:
+            drop[id(e)] = e.dropped()
+    any_article = any(e.article and not drop[id(e)] for _, e in found)
+    any_main = any(e.main and not drop[id(e)] for _, e in found)
     out = []
-    for text, off, header, article, main in found:
-        if off or header:  # of a header inside an article, headings are text
+    for text, e in found:
+        if drop[id(e)] or e.header and not (e.head and (e.article or e.main)):  # of a header inside an article, headings are text
             kind = DROP
-        elif article:
+        elif e.article:
             kind = ARTICLE
         elif any_main:
-            kind = OPEN if main else DROP
+            kind = OPEN if e.main else DROP
         else:
             kind = DROP if any_article else OPEN
         out.append((text, kind))
@@ -232,7 +295,7 @@ def parsed(pages: DataFrame) -> DataFrame:
                         pa.array([p[0] for p in places], pa.string()),
                         pa.array([p[1] for p in places], pa.string()),
                         pa.array(np.array(sig, np.uint64).view(np.int64)),
-                        pa.array([[t for t, _ in page] for page in lines], pa.list_(pa.string())),
+                        pa.array([[t if k != DROP else "" for t, k in page] for page in lines], pa.list_(pa.string())),
                         tk.nested(kinds, pa.int8()),
                         tk.nested(hashes, pa.int64()),
                         tk.nested([np.array([len(t) for t, _ in page], np.int64) for page in lines], pa.int64()),
@@ -246,12 +309,12 @@ def parsed(pages: DataFrame) -> DataFrame:
     )
 
 
-def shared_lines(hashes: list, kinds: list, sizes: list, near: list[list]) -> list[int]:
+def shared_lines(hashes: list, kinds: list, sizes: list, near: list[list], copy: float = COPY) -> list[int]:
     """Indexes of the lines outside articles that the first neighbour which is no copy shares with the page."""
     open_ = sum(s for s, k in zip(sizes, kinds, strict=True) if k == OPEN)
     for other in near:
         gone = [i for i in common(hashes, other) if kinds[i] != ARTICLE]
-        if not open_ or sum(sizes[i] for i in gone if kinds[i] == OPEN) < COPY * open_:
+        if not open_ or sum(sizes[i] for i in gone if kinds[i] == OPEN) < copy * open_:
             return gone
     return []
 
@@ -265,9 +328,9 @@ def _ahead(a: str, b: str) -> int:
     return n
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of each page."""
-    rows = parsed(pages)
+def extract(pages: DataFrame, copy: float = COPY) -> DataFrame:
+    """page_id, url, text, n_chars of each page; a neighbour that shares `copy` of the text outside articles counts as a copy."""
+    rows = stash(parsed(pages), "parsed")
     # one light row (no text) for each distinct page of a host; the hot host is split by path ranges, not held in one task
     light = rows.select("host", "path", "sig", "kinds", "hashes", "sizes").dropDuplicates(["host", "path", "sig"])
     placed = in_order(light, ["host"], ["path", "sig"], ["path", "hashes"])
@@ -279,7 +342,7 @@ def extract(pages: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 near = [(x[f"{w}_path"][k], x[f"{w}_hashes"][k]) for w in ("prev", "next") if x[f"{w}_hashes"][k] is not None]
                 near.sort(key=lambda n, own=x["path"][k]: -_ahead(own, n[0]))
-                gone.append(shared_lines(x["hashes"][k], x["kinds"][k], x["sizes"][k], [h for _, h in near]))
+                gone.append(shared_lines(x["hashes"][k], x["kinds"][k], x["sizes"][k], [h for _, h in near], copy))
             yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("path"), batch.column("sig"), pa.array(gone, pa.list_(pa.int32()))], names=["host", "path", "sig", "gone"])
 
     gone = placed.mapInArrow(run, "host string, path string, sig long, gone array<int>")

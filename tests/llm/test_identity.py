@@ -53,18 +53,21 @@ def test_encoding(monkeypatch):
         assert [x.tolist() for x in codec.encode(texts)] == [reference.encode_ordinary(t) for t in texts]
 
 
-def test_near_duplicates(spark):
+def test_near_duplicates_of_alike_words(spark):
     docs = spark.createDataFrame([(1, f"{ONE} one"), (2, f"{TWO} one"), (3, f"{ONE}  ONE")], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 2).collect()} == {1: 1, 2: 2, 3: 1}
 
 
-def test_classes_of_one_name_are_kept_apart(spark, monkeypatch):
-    """Two sets whose 64-bit names are the same are two classes."""
-    name = minhash.set_name
-    monkeypatch.setattr(minhash, "set_name", lambda items: (np.uint64(7), name(items)[1]))
-    rows = [(1, "a b c d"), (2, "e f g h i"), (3, "a b c d"), (4, "k l m n o p q r s t u v"), (5, "k l m n o p q r s t u v w")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 2).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4}
+def test_classes_of_one_name_are_kept_apart(spark):
+    """Two sets whose 64-bit names are the same are two classes, in the sketches and in the full sets."""
+    rows = spark.createDataFrame([(1, 7, 21, 2), (2, 7, 22, 2), (3, 8, 23, 2), (4, 7, 21, 2), (5, 0, 0, 0)], "doc_id long, h0 long, h1 long, n_shingles long")
+    out, clash = minhash.named_apart(rows)
+    assert clash == [7] and {r.doc_id: r.h0 for r in out.collect()} == {1: 21, 2: 22, 3: 8, 4: 21, 5: 0}
+    texts = spark.createDataFrame([("a b c d",), ("e f g h i",)], "text string")
+    names = [r.h0 for r in minhash.full_sets(texts, 2, []).collect()]
+    again = [r.h0 for r in minhash.full_sets(texts, 2, names[:1]).collect()]
+    sketched = [(r.h0, r.h1) for r in minhash.sketches(texts.selectExpr("1L doc_id", "text"), 2).collect()]
+    assert [h for h, _ in sketched] == names and again == [sketched[0][1], names[1]]
 
 
 def test_known_words(spark):

@@ -1,6 +1,7 @@
 """Page differencing, compacted shards, quotation linking and the pipeline against plain versions."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +53,35 @@ def test_pages(spark):
     assert H.extract(pages.limit(0)).count() == 0
 
 
+def test_differencing_decides(spark):
+    """Pages that mark nothing: the frame goes by what neighbours share, and only by that."""
+    frame = "<body class='has-sidebar'><div class='sidebar'><p>Town news</p><p>Sport</p></div>%s<div><p>Imprint</p></div></body>"
+    rows = [(k, f"https://{'ab'[k % 2]}.example/n/{k:03d}", frame % f"<h2>Head {k}</h2><p>Body of {k}.</p>") for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r.page_id: r.text for r in H.extract(pages).collect()}
+    assert text == {k: f"Head {k}\nBody of {k}." for k in range(40)}
+    plain = {r.page_id: r.text for r in H.extract(pages, copy=0.0).collect()}  # every neighbour counts as a copy: nothing is deleted
+    assert sum(text[k] != plain[k] for k in text) == 40
+
+
+def test_markup_guards():
+    text = lambda h: "\n".join(t for t, k in H.lines_of(h) if k != H.DROP)
+    assert text("<body class='ad'><div class='share related'><article><p>in</p></article><p>out</p></div></body>") == "in"
+    assert text("<div class='comments'><p>no</p></div><p>yes<div class=ad>no</div>more") == "yes\nmore"
+    assert text("<main><p>a</p><div class='promo'>no</div></main><p>out</p>") == "a"
+    assert text("<p title='a>b'>x</p><p title=\"un>closed>y</p><p title='c>d'>z</p>") == "x\nclosed>y\nd'>z"
+    assert text("a < b <svg/><p>c<textarea>no</textarea>d<script>no") == "a < b\ncd"
+    assert text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
+
+
+@pytest.mark.parametrize("piece", ["<script ", "<script>", "</script ", "<a \"", "<a \">\" ", "<a '>' ", "<!-- ", "<!", "< ", "<li><div>", "<b></i>", "<div><li></li>", "x=' ", "&amp", "<p>a<!-->"])
+def test_reading_is_linear(piece):
+    for page in (piece * 40_000, piece * 40_000 + "'>", "<p " + piece * 40_000 + ">"):
+        began = time.time()
+        H.lines_of(page)
+        assert time.time() - began < 4
+
+
 def test_shards(spark, tmp_path):
     rows = [(k, "x" * (k % 97), None if k % 9 else "s") for k in range(600)] + [(None, None, None), (7, "same", "s"), (7, "same", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
