@@ -2,11 +2,14 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 
@@ -90,6 +93,38 @@ def test_quality(spark):
     assert quality.keep_good(docs.limit(0)).count() == 0
 
 
+def test_rates_are_estimated():
+    """Votes drawn from known accuracies, good ones with bad votes among them: the estimate finds the accuracies."""
+    r, k = np.random.default_rng(5), len(quality.RULES)
+    on_good, on_bad, abstain = r.uniform(0.01, 0.15, k), r.uniform(0.3, 0.95, k), r.uniform(0, 0.3, k)
+    good = r.random(60_000) < 0.8
+    bad = r.random((len(good), k)) < np.where(good[:, None], on_good, on_bad)
+    votes = np.where(r.random(bad.shape) < abstain, quality.NONE, np.where(bad, quality.BAD, quality.GOOD))
+    found, where, counts = np.unique(votes @ 3 ** np.arange(k), return_inverse=True, return_counts=True)
+    posterior, rates = quality.fit(found, counts)
+    assert np.abs(rates["bad_on_good"] - on_good).max() < 0.01 and np.abs(rates["bad_on_bad"] - on_bad).max() < 0.03
+    verdict = (posterior >= 0.5)[where]
+    assert (verdict == good).mean() > 0.95 > 0.7 > (~(votes == quality.BAD).any(1) == good).mean()
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/labels.parquet"), reason="no tables")
+def test_estimates_agree_with_labels():
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pandas()
+    labels = docs[["doc_id"]].merge(pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pandas(), how="left")["quality"].to_numpy()
+    parts = [x for _, _, x in quality.measure(pa.array(docs["text"]))]
+    x = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+    fine = ~quality.base_failed(x)
+    votes = quality.patterns(x)
+    found, counts = np.unique(votes[fine], return_counts=True)
+    posterior, rates = quality.fit(found, counts)
+    kept = posterior[np.searchsorted(found, votes[fine])] >= 0.5
+    bad = (votes[fine][:, None] // 3 ** np.arange(len(quality.RULES))) % 3 == quality.BAD
+    good, poor = labels[fine] == 1, labels[fine] == 0
+    assert kept[good].mean() > 0.99 and kept[poor].mean() < 0.05
+    assert np.abs(rates["bad_on_good"] - bad[good].mean(0)).max() < 0.02
+    assert (kept == bad.any(1)).sum() >= 10  # documents on which the verdict is not that of "all must pass"
+
+
 def plain_spans(t):
     digits = lambda x: re.sub(r"[^0-9]", "", x)
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
