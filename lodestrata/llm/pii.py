@@ -1,17 +1,21 @@
 """Personal data: a character-level bidirectional LSTM with CRF transitions, trained in numpy from labelled spans.
 
 Labelled spans come from two places: windows of the corpus labelled by the base patterns (a sample of at most SAMPLE
-windows, chosen by hash from all) and built examples of written-around forms (spelled-out e-mail signs, spaced or
-bracketed addresses, national phone numbers, other card separators) put into those windows, with look-alikes (dates,
-versions, hashes, amounts) as negatives. The model (some tens of KB) is then shipped to the executors.
+windows, half of them with a digit or @, chosen by hash from all) and BUILT examples of written-around forms (spelled-out
+e-mail signs, spaced or bracketed addresses, national phone numbers, other card separators) put into those windows, with
+look-alikes (dates, versions, hashes, amounts, "at" between words) as negatives. The model (some KB) is then shipped.
 
-Every whole text is cut into overlapping windows at fixed places. Each span of any kind holds a digit, @ or bracketed "at"
-(`_fits` asks for it), so decoding begins at the windows around those and goes on to both sides while the labels touch a window
-not yet decoded: the spans are those that decoding every window gives. Viterbi paths are reconciled over the document: each character's label comes from
-the window in which it lies most central, and spans are read from the joined labels. The patterns' spans always stay; a
-span of the model is added where it overlaps none, stands free of letters and digits, and has what its kind needs.
+Every character of every text is read: whole texts are cut into overlapping windows, and where two windows overlap their
+emissions are blended, so that each text has one emission a character. One Viterbi path is then found for the whole text.
+Stretches that no path can leave the tag "none" for with profit are found from running sums first (a bound, so the path
+stays exact) and only the rest is searched. The patterns' spans always stay. A span of the path is added where it overlaps
+none of those, stands free of letters and digits, and its tags beat "none" by MARGIN nats; a card number's check digit must be
+right, and a telephone number has at most 15 digits. Nothing else decides what the model may find.
 
-Null texts are empty. Rows are read one by one, so null ids, repeated rows and extra columns change nothing.
+The squashing function is x / sqrt(1 + x^2), for the gates shifted to (0, 1): one that numpy computes fast.
+
+Null texts are empty. Rows are read one by one, so null ids, repeated rows and extra columns change nothing; `n_chars` is
+counted anew by redact() where it is a column of integers. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,17 +24,23 @@ import hashlib
 import re
 import string
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.llm import textkernel as tk
+
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE, SAMPLE = 64, 32, 1500
-TRIGGER = re.compile(r"[0-9@]|[(\[{]\s?at\s?[)\]}]", re.IGNORECASE)
-#: The same for the JVM, to leave out texts without any.
-TRIGGER_SQL = r"(?i)[0-9@]|[(\[{]\s?at\s?[)\]}]"
+#: Windows in decoding and their overlap; windows in training and what is seen beside them; labelled windows, built ones.
+WINDOW, OVERLAP, TRAIN, AROUND, SAMPLE, BUILT = 256, 32, 72, 40, 1500, 5000
+STRIDE = WINDOW - OVERLAP
+MARGIN = 2.0
+HIDDEN, EMBED = 10, 10
+SIGN = re.compile(r"[0-9@]")
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
@@ -103,14 +113,28 @@ def tags_of(spans: list[Span], start: int, size: int) -> np.ndarray:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
+def squash(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt(1 + x * x)
+
+
+def slope(y: np.ndarray) -> np.ndarray:
+    """The derivative of squash where it is y."""
+    z = 1 - y * y
+    return z * np.sqrt(z)
+
+
+def gate(x: np.ndarray) -> np.ndarray:
+    return 0.5 + 0.5 * squash(x)
+
+
+def gate_slope(y: np.ndarray) -> np.ndarray:
+    return 0.5 * slope(2 * y - 1)
 
 
 class Tagger:
-    """BiLSTM-CRF over windows of WINDOW characters; parameters in the dict `p`."""
+    """BiLSTM-CRF over characters; parameters in the dict `p`."""
 
-    def __init__(self, p: dict[str, np.ndarray] | None = None, hidden: int = 24, embed: int = 16, seed: int = 7):
+    def __init__(self, p: dict[str, np.ndarray] | None = None, hidden: int = HIDDEN, embed: int = EMBED, seed: int = 7):
         if p is None:
             r = np.random.default_rng(seed)
             f = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
@@ -129,12 +153,12 @@ class Tagger:
         state, cell, memory = np.zeros((b, h), np.float32), np.zeros((b, h), np.float32), []
         for t in range(n) if d == "f" else range(n - 1, -1, -1):
             z = pre[t] + state @ self.p[f"H{d}"]
-            gates = _sigmoid(z[:, : 3 * h])
+            gates = gate(z[:, : 3 * h])
             i, f, o = gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :]
-            g = np.tanh(z[:, 3 * h :])
+            g = squash(z[:, 3 * h :])
             before, last = cell, state
             cell = f * cell + i * g
-            squashed = np.tanh(cell)
+            squashed = squash(cell)
             state = o * squashed
             out[t] = state
             if keep:
@@ -147,40 +171,87 @@ class Tagger:
         both = np.concatenate([f, b], axis=2)
         return both @ self.p["O"] + self.p["o"], (x, both, mf, mb)
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The best tag path of each window (Viterbi)."""
-        e, _ = self.emissions(ids)
-        n, b, _ = e.shape
-        score, back = e[0] + self.p["S"], np.zeros((n, b, TAGS), np.int8)
+    @cached_property
+    def steps(self) -> np.ndarray:
+        """The transitions that decoding allows: from none to none or a kind's first tag, on within a kind, back to none."""
+        may = np.zeros((TAGS, TAGS), bool)
+        may[:, 0] = may[0, 0] = True
+        for k in range(1, TAGS, 2):
+            may[0, k] = may[k, k + 1] = may[k + 1, k + 1] = True
+        return np.where(may, self.p["T"], np.float32(-1e6))
+
+    def read(self, ids: np.ndarray) -> np.ndarray:
+        """(L, TAGS, B): emissions() for long batches, features first, with the embedding folded into a table."""
+        h, (b, n) = self.h, ids.shape
+        at = np.ascontiguousarray(ids.T)
+        both = np.empty((n, 2 * h, b), np.float32)
+        z, x = np.empty((4 * h, b), np.float32), np.empty((4 * h, b), np.float32)
+        for k, d in enumerate("fb"):
+            table = np.ascontiguousarray((self.p["E"] @ self.p[f"X{d}"] + self.p[f"c{d}"]).T)
+            weights = np.ascontiguousarray(0.5 * self.p[f"H{d}"].T)  # states and gates are kept doubled
+            state, cell, y = np.zeros((h, b), np.float32), np.zeros((h, b), np.float32), np.empty((h, b), np.float32)
+            for t in range(n) if d == "f" else range(n - 1, -1, -1):
+                np.matmul(weights, state, out=z)
+                np.take(table, at[t], axis=1, out=x, mode="clip")
+                z += x
+                np.multiply(z, z, out=x)
+                x += 1
+                np.sqrt(x, out=x)
+                z /= x
+                gates = z[: 3 * h]
+                gates += 1
+                cell *= z[h : 2 * h]
+                np.multiply(z[:h], z[3 * h :], out=y)
+                cell += y
+                cell *= 0.5
+                np.multiply(cell, cell, out=y)
+                y += 1
+                np.sqrt(y, out=y)
+                np.divide(cell, y, out=y)
+                state = both[t, k * h : (k + 1) * h]
+                np.multiply(y, z[2 * h : 3 * h], out=state)
+        return np.matmul(0.5 * self.p["O"].T, both) + self.p["o"][:, None]
+
+    def path(self, e: np.ndarray, sizes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The best tags (R, L) of stretches with emissions e (R, L, TAGS); first, last: whether a text begins, ends there.
+
+        Elsewhere a stretch has "none" before and after it.
+        """
+        (r, n, _), T = e.shape, self.steps
+        score = e[:, 0] + np.where(first[:, None], np.where(T[0] > -1e5, self.p["S"], T[0]), T[0])
+        back = np.empty((n, r, TAGS), np.int8)
         for t in range(1, n):
-            s = score[:, :, None] + self.p["T"][None]
-            back[t] = s.argmax(1)
-            score = s.max(1) + e[t]
-        path = np.zeros((b, n), np.int64)
-        path[:, -1] = score.argmax(1)
-        for t in range(n - 1, 0, -1):
-            path[:, t - 1] = back[t, np.arange(b), path[:, t]]
-        return path
+            s = score[:, :, None] + T[None]
+            live = (t < sizes)[:, None]
+            back[t] = np.where(live, s.argmax(1), np.arange(TAGS))
+            score = np.where(live, s.max(1) + e[:, t], score)
+        out = np.zeros((r, n), np.int64)
+        tag = (score + np.where(last[:, None], 0, T[:, 0])).argmax(1)
+        for t in range(n - 1, -1, -1):
+            out[:, t] = np.where(t < sizes, tag, 0)
+            if t:
+                tag = back[t, np.arange(r), tag]
+        return out
 
     def gradients(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         e, (x, both, mf, mb) = self.emissions(ids, True)
         n, b, _ = e.shape
         y, T = tags.T, self.p["T"]
-        lse = lambda s, axis: (m := s.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(s - m).sum(axis))
-        alpha, beta = np.zeros_like(e), np.zeros_like(e)
-        alpha[0] = e[0] + self.p["S"]
-        for t in range(1, n):
-            alpha[t] = lse(alpha[t - 1][:, :, None] + T[None], 1) + e[t]
+        # forward and backward sums as probabilities, each place divided by its whole c
+        top, K = e.max(2, keepdims=True), np.exp(T)
+        x_e = np.exp(e - top)
+        alpha, beta, c = np.empty_like(e), np.ones_like(e), np.empty((n, b, 1), e.dtype)
+        for t in range(n):
+            alpha[t] = (alpha[t - 1] @ K if t else np.exp(self.p["S"])) * x_e[t]
+            c[t] = alpha[t].sum(1, keepdims=True)
+            alpha[t] /= c[t]
         for t in range(n - 2, -1, -1):
-            beta[t] = lse(T[None] + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-        total = lse(alpha[-1], 1)
-        marginal = np.exp(alpha + beta - total[None, :, None])
+            beta[t] = (x_e[t + 1] * beta[t + 1]) @ K.T / c[t + 1]
+        total = (np.log(c) + top).sum((0, 2))
         hot = np.eye(TAGS, dtype=np.float32)[y]
-        de = (marginal - hot) / b
-        dT = np.zeros_like(T)
-        for t in range(n - 1):
-            pair = np.exp(alpha[t][:, :, None] + T[None] + (e[t + 1] + beta[t + 1])[:, None, :] - total[:, None, None])
-            dT += (pair.sum(0) - hot[t].T @ hot[t + 1]) / b
+        de = (alpha * beta - hot) / b
+        pairs = K * (alpha[:-1].reshape(-1, TAGS).T @ (x_e[1:] * beta[1:] / c[1:]).reshape(-1, TAGS))
+        dT = (pairs - hot[:-1].reshape(-1, TAGS).T @ hot[1:].reshape(-1, TAGS)) / b
         gold = np.take_along_axis(e, y[:, :, None], 2).sum((0, 2)) + self.p["S"][y[0]] + T[y[:-1], y[1:]].sum(0)
         g = {"T": dT, "S": de[0].sum(0), "O": np.tensordot(both, de, ([0, 1], [0, 1])), "o": de.sum((0, 1))}
         dboth = de @ self.p["O"].T
@@ -191,8 +262,8 @@ class Tagger:
             g[f"H{d}"] = np.zeros_like(self.p[f"H{d}"])
             for t, i, f, o, c, before, squashed, last in reversed(memory):
                 dh = dh + dout[t]
-                dc = dc + dh * o * (1 - squashed**2)
-                dz[t] = np.concatenate([dc * c * i * (1 - i), dc * before * f * (1 - f), dh * squashed * o * (1 - o), dc * i * (1 - c**2)], axis=1)
+                dc = dc + dh * o * slope(squashed)
+                dz[t] = np.concatenate([dc * c * gate_slope(i), dc * before * gate_slope(f), dh * squashed * gate_slope(o), dc * i * slope(c)], axis=1)
                 g[f"H{d}"] += last.T @ dz[t]
                 dh = dz[t] @ self.p[f"H{d}"].T
                 dc = dc * f
@@ -202,7 +273,7 @@ class Tagger:
         np.add.at(g["E"], ids.T, dx)
         return float((total - gold).mean()), g
 
-    def train(self, ids: np.ndarray, tags: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01) -> list[float]:
+    def train(self, ids: np.ndarray, tags: np.ndarray, epochs: int = 12, batch: int = 192, rate: float = 0.03) -> list[float]:
         """Adam over shuffled batches; the mean loss of each epoch."""
         r, m, v, step, losses = np.random.default_rng(11), {}, {}, 0, []
         for epoch in range(epochs):
@@ -242,9 +313,9 @@ class Examples:
         return "".join(self.r.choice(list(string.ascii_lowercase), self.r.integers(lo, hi)))
 
     def email(self) -> str:
-        name = self.letters(2, 9) + self.pick("", ".", "_", "") + self.letters(0, 6) + self.pick("", "", self.digits(2))
-        dot = self.pick(".", ".", " dot ", "(dot)", " [dot] ", "[.]")
-        at = self.pick("@", " @ ", "(at)", " (at) ", "[at]", " [at] ", " {at} ")
+        name = self.letters(2, 7) + self.pick("", ".", "_", "") + self.letters(0, 6) + self.pick("", "", self.digits(2))
+        dot = self.pick(".", ".", " dot ", " dot ", " dot ", "(dot)", " [dot] ", "[.]")
+        at = self.pick("@", " @ ", " at ", " at ", " at ", "(at)", " (at) ", "[at]", " [at] ", " {at} ") if dot != "." else self.pick("@", " @ ", "(at)", " (at) ", "[at]", " [at] ", " {at} ")
         return name + at + self.letters(3, 9) + dot + self.pick("com", "org", "net", "example", "de", "co.uk")
 
     def ip(self) -> str:
@@ -269,57 +340,68 @@ class Examples:
         return self.pick(
             f"20{d(2)}-0{d(1)}-1{d(1)}", f"version {d(1)}.{d(1)}", f"{d(1)}.{d(2)}.{d(1)}", f"{d(1)},{d(3)}.{d(2)}", "".join(self.r.choice(list("0123456789abcdef"), 40)),
             f"1{d(1)}:{d(2)}:{d(2)}", f"{d(4)}", f"{d(2)} %", f"@{self.letters(3, 8)}", f"{self.letters(3, 6)}{d(3)}", f"{d(3)}-{d(2)}", f"[{d(2)}]", f"{d(5)}-{d(4)}", f"{self.letters(2, 5)} at {self.letters(3, 7)}",
+            f"{self.letters(2, 8)} at {self.letters(3, 7)}. {self.letters(2, 7)}", f"{self.letters(3, 8)} dot {self.letters(2, 7)}", " ".join([self.letters(2, 8)] * 12), f"{d(2)} {self.letters(2, 6)} {d(3)} {self.letters(2, 6)}",
         )
 
     def placed(self, around: str) -> tuple[str, np.ndarray]:
         """A window of text with one built item in it, and its tags."""
-        kind = self.pick(*KINDS, "none", "none")
+        kind = self.pick("email", *KINDS, "none", "none")
         item = getattr(self, kind)()
-        plain = TRIGGER.sub("e", around).ljust(WINDOW, " ")
-        at = int(self.r.integers(0, WINDOW - 8))
+        plain = SIGN.sub("e", around).ljust(TRAIN, " ")
+        at = int(self.r.integers(0, TRAIN - 8))
         blank = "" if at == 0 else self.pick(" ", " ", ": ", "\n", "(")
-        text = (plain[:at] + blank + item + self.pick(" ", ". ", ", ", "\n", "") + plain[at:])[:WINDOW]
+        text = (plain[:at] + blank + item + self.pick(" ", ". ", ", ", "\n", "") + plain[at:])[:TRAIN]
         a = at + len(blank)
-        return text, tags_of([(kind, a, a + len(item))] if kind != "none" else [], 0, WINDOW)
+        return text, tags_of([(kind, a, a + len(item))] if kind != "none" else [], 0, TRAIN)
 
 
-def starts_of(text: str) -> list[int]:
-    """Starts of the windows, at multiples of STRIDE, that hold a trigger."""
-    out: set[int] = set()
-    last = max(0, -(-(len(text) - WINDOW) // STRIDE))
-    for m in TRIGGER.finditer(text):
-        k = min(m.start() // STRIDE, last)
-        out.update(x * STRIDE for x in (k - 1, k, k + 1) if 0 <= x <= last)
-    return sorted(out)
+def starts_of(size: int) -> list[int]:
+    """Starts of the windows of a text of so many characters; each but the first goes beyond the overlap."""
+    return list(range(0, max(1, size - OVERLAP), STRIDE))
 
 
 def sampled_windows(docs: DataFrame, most: int = SAMPLE) -> list[tuple[str, str]]:
-    """(text, tags as digits) of at most `most` windows, those of least hash among all windows of all documents."""
+    """(text, tags as digits) of at most `most` windows: those of least hash among all of all documents, half with SIGN.
+
+    A window is labelled by the patterns on it and AROUND characters to both sides, of which the hash is, too.
+    """
+    half = most // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            best: list[dict[int, tuple[str, int]]] = [{}, {}]
             for text in batch.column("text").to_pylist():
-                spans = base_spans(text)
-                for s in starts_of(text):
-                    w = text[s : s + WINDOW]
-                    rows.append((hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest(), w, "".join(map(str, tags_of(spans, s, len(w))))))
-            rows = sorted(set(rows))[:most]  # a batch can give no more of the least
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["h", "w", "t"])
+                for s in range(0, len(text), TRAIN):
+                    lo = max(0, s - AROUND)
+                    wide = text[lo : s + TRAIN + AROUND]
+                    of = best[1 if SIGN.search(wide, s - lo, s - lo + TRAIN) else 0]
+                    of[xxhash.xxh64_intdigest(wide.encode("utf-8", "surrogatepass")) >> 1] = (wide, s - lo)
+                for k in (0, 1):
+                    if len(best[k]) > 8 * half:
+                        best[k] = {h: best[k][h] for h in sorted(best[k])[:half]}
+            rows = []
+            for sign, of in enumerate(best):
+                for h in sorted(of)[:half]:
+                    wide, s = of[h]
+                    w = wide[s : s + TRAIN]
+                    rows.append((sign, h, w, "".join(map(str, tags_of(base_spans(wide), s, len(w))))))
+            kinds = (pa.int32(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["sign", "h", "w", "t"])
 
-    windows = docs.select("text").where(F.col("text").rlike(TRIGGER_SQL)).mapInArrow(run, "h string, w string, t string")
-    return [(r.w, r.t) for r in windows.orderBy("h", "t").limit(most).collect()]
+    windows = docs.select("text").where("text is not null").mapInArrow(run, "sign int, h long, w string, t string").distinct()
+    windows = windows.withColumn("rank", F.row_number().over(Window.partitionBy("sign").orderBy("h", "w", "t"))).where(F.col("rank") <= half)
+    return [(r.w, r.t) for r in windows.orderBy("sign", "rank").collect()]
 
 
 def fit(docs: DataFrame) -> dict[str, np.ndarray]:
     """Train on labelled windows of docs and on built examples; returns the parameters."""
     real = sampled_windows(docs)
     make = Examples()
-    filler = [w for w, _ in real] or ["the quick brown fox and the lazy dog went to see the sea and came"]
+    filler = [w for w, _ in real if not SIGN.search(w)] or [w for w, _ in real] or ["the quick brown fox and the lazy dog went to see the sea and came"]
     texts = [(w, np.array(list(map(int, t)), np.int64)) for w, t in real]
-    texts += [make.placed(filler[k % len(filler)]) for k in range(2 * SAMPLE)]
-    ids = np.full((len(texts), WINDOW), PAD, np.int64)
-    tags = np.zeros((len(texts), WINDOW), np.int64)
+    texts += [make.placed(filler[k % len(filler)]) for k in range(BUILT)]
+    ids = np.full((len(texts), TRAIN), PAD, np.int64)
+    tags = np.zeros((len(texts), TRAIN), np.int64)
     for k, (w, t) in enumerate(texts):
         ids[k, : len(w)] = encode(w)
         tags[k, : len(t)] = t
@@ -328,78 +410,134 @@ def fit(docs: DataFrame) -> dict[str, np.ndarray]:
     return tagger.p
 
 
-def joined_tags(tagger: Tagger, texts: list[str], most: int = 1024) -> list[dict[int, int]]:
-    """For each text the tags other than 0 by position, reconciled over its windows; a run of tags with a trigger in it is whole."""
-    todo = [(k, s) for k, t in enumerate(texts) for s in starts_of(t)]
-    done, out = set(todo), [{} for _ in texts]
-    margin = (WINDOW - STRIDE) // 2
-    while todo:
-        after: list[tuple[int, int]] = []
-        for lo in range(0, len(todo), most):
-            part = todo[lo : lo + most]
-            ids = np.full((len(part), WINDOW), PAD, np.int64)
-            for j, (k, s) in enumerate(part):
-                e = encode(texts[k][s : s + WINDOW])
-                ids[j, : len(e)] = e
-            paths = tagger.decode(ids)
-            for j in np.flatnonzero(paths.any(axis=1)).tolist():
-                k, s = part[j]
-                a = 0 if s == 0 else margin  # a window answers for its middle; the first and last also for their ends
-                last = s + WINDOW >= len(texts[k])
-                b = WINDOW if last else WINDOW - margin
-                row = paths[j]
-                for x in (np.flatnonzero(row[a:b]) + a).tolist():
-                    if s + x < len(texts[k]):
-                        out[k][s + x] = int(row[x])
-                for beside in ([s - STRIDE] if s and row[a] else []) + ([s + STRIDE] if not last and row[b - 1] else []):
-                    if (k, beside) not in done:
-                        done.add((k, beside))
-                        after.append((k, beside))
-        todo = after
+def blended(tagger: Tagger, points: np.ndarray, offsets: np.ndarray, most: int = 1024) -> np.ndarray:
+    """(characters, TAGS): the emissions of texts on end, of all their windows; offsets has the texts' starts and the end."""
+    out = np.zeros((len(points), TAGS), np.float32)
+    sizes = np.diff(offsets)
+    count = np.maximum(1, -(-(sizes - OVERLAP) // STRIDE))
+    text = np.repeat(np.arange(len(sizes)), count)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    start, last = number * STRIDE, number == count[text] - 1
+    width = np.minimum(WINDOW, sizes[text] - start)
+    padded = np.append(points, PAD)
+    step = np.maximum(1, -(-width // 128)) * 128
+    ramp = ((np.arange(OVERLAP) + 0.5) / OVERLAP).astype(np.float32)
+    for odd in (0, 1):  # windows of one parity do not overlap
+        for w in np.unique(step[(number % 2 == odd) & (width > 0)]).tolist():
+            members = np.flatnonzero((number % 2 == odd) & (step == w) & (width > 0))
+            for lo in range(0, len(members), most):
+                m = members[lo : lo + most]
+                place = (offsets[text[m]] + start[m])[:, None] + np.arange(w)[None, :]
+                inside = np.arange(w)[None, :] < width[m][:, None]
+                e = np.ascontiguousarray(tagger.read(padded[np.where(inside, place, len(points))]).transpose(2, 0, 1))
+                e[number[m] > 0, :OVERLAP] *= ramp[:w, None]
+                if w == WINDOW:
+                    e[~last[m], -OVERLAP:] *= ramp[::-1, None]
+                for row, o, n in zip(e, place[:, 0].tolist(), width[m].tolist(), strict=True):
+                    out[o : o + n] += row[:n]
+    return out
+
+
+def open_stretches(tagger: Tagger, e: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+    """(text, from, to) of the places that lie in some run of a kind's tags which beats "none"; elsewhere the best path is "none".
+
+    A run begins at s with its kind's first tag and goes on to u with its other tag, so its gain is begin[s] plus a
+    difference of running sums: the best s up to a place and the best u from it on tell whether the place is open.
+    """
+    T, S = tagger.p["T"].astype(np.float64) - float(tagger.p["T"][0, 0]), tagger.p["S"].astype(np.float64) - float(tagger.p["S"][0])
+    first, later = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
+    on = T[later, later][:, None]
+    enter = np.maximum(T[0, first], S[first])[:, None]
+    follow = np.maximum(T[first, later][:, None] - on, 0)  # a run of one place has no step to the other tag
+    leave = np.maximum(np.maximum(T[first, 0], T[later, 0]), 0)[:, None] + 1e-3
+    full = np.flatnonzero(np.diff(offsets) > 0)
+    if not len(full):
+        return []
+    none = e[:, 0]
+    hint = np.full(len(e), -np.inf, np.float32)  # above zero somewhere in every text that has a run with a gain
+    for k in range(len(first)):
+        np.maximum(hint, e[:, later[k]] - none + np.float32(on[k, 0]), out=hint)
+        np.maximum(hint, e[:, first[k]] - none + np.float32((enter + follow + leave)[k, 0]), out=hint)
+    out = []
+    for k in full[np.maximum.reduceat(hint, offsets[full]) > 0].tolist():
+        x = e[offsets[k] : offsets[k + 1]].T.astype(np.float64)
+        sums = np.cumsum(x[later] - x[0] + on, axis=1)
+        begin = x[first] - x[0] + enter + follow - sums
+        best = np.maximum.accumulate(begin, axis=1) + np.maximum.accumulate(sums[:, ::-1], axis=1)[:, ::-1] + leave
+        free = np.concatenate([[False], (best > 0).any(0), [False]])
+        edges = np.flatnonzero(free[1:] != free[:-1])
+        out += [(k, int(a), int(b)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    return out
+
+
+def tagged_runs(tagger: Tagger, points: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+    """(text, kind, from, to, nats by which it beats "none") of each run of tags on the best path of each text."""
+    e = blended(tagger, points, offsets)
+    todo = sorted(open_stretches(tagger, e, offsets), key=lambda x: x[2] - x[1])
+    out = []
+    T, S = tagger.steps, tagger.p["S"]
+    at = 0
+    while at < len(todo):
+        to = min(len(todo), at + 256)
+        while to > at + 1 and (todo[to - 1][2] - todo[to - 1][1]) * (to - at) > 1 << 18:
+            to = at + max(1, (to - at) // 2)
+        part = todo[at:to]
+        at = to
+        sizes = np.array([b - a for _, a, b in part])
+        grid = np.zeros((len(part), int(sizes[-1]), TAGS), np.float32)
+        for j, (k, a, b) in enumerate(part):
+            grid[j, : b - a] = e[offsets[k] + a : offsets[k] + b]
+        first = np.array([a == 0 for _, a, _ in part])
+        last = np.array([b == offsets[k + 1] - offsets[k] for k, _, b in part])
+        paths = tagger.path(grid, sizes, first, last)
+        for j in np.flatnonzero(paths.any(1)).tolist():
+            (k, a, _), y = part[j], paths[j]
+            x = 0
+            while x < sizes[j]:
+                if not y[x]:
+                    x += 1
+                    continue
+                kind, stop = (y[x] - 1) // 2, x + 1
+                while stop < sizes[j] and y[stop] == 2 + 2 * kind:
+                    stop += 1
+                g = grid[j, np.arange(x, stop), y[x:stop]].sum() - grid[j, x:stop, 0].sum() + T[y[x : stop - 1], y[x + 1 : stop]].sum() - (stop - 1 - x) * T[0, 0]
+                g += S[y[x]] - S[0] if first[j] and x == 0 else T[0, y[x]] - T[0, 0]
+                if not (last[j] and stop == sizes[j]):
+                    g += T[y[stop - 1], 0] - T[0, 0]
+                out.append((k, int(kind), a + x, a + stop, float(g)))
+                x = stop
     return out
 
 
-def _fits(kind: str, item: str) -> bool:
-    d = _digits(item)
-    if kind == "email":
-        return bool(re.search(r"@|[(\[{]\s?at\s?[)\]}]", item, re.IGNORECASE)) and bool(re.search(r"[A-Za-z0-9]\s?(\.|[(\[{ ](dot|\.)[)\]} ])\s?[A-Za-z]", item, re.IGNORECASE))
-    if kind == "ip":
-        parts = re.findall(r"[0-9]+", item)
-        return len(parts) == 4 and all(map(_small, parts)) and not re.search(r"[A-Za-z]", item)
-    if re.search(r"[A-Za-z\n]", item):
-        return False
-    return 13 <= len(d) <= 19 and luhn(d) if kind == "card" else 9 <= len(d) <= 15
-
-
-def added_spans(text: str, tags: dict[int, int], base: list[Span]) -> list[Span]:
-    """Spans that the tags give beyond the base ones."""
-    runs: list[list[int]] = []
-    for x in sorted(tags):
-        kind = (tags[x] - 1) // 2
-        if runs and runs[-1][2] == x and runs[-1][0] == kind and tags[x] != 1 + 2 * kind:
-            runs[-1][2] = x + 1
-        else:
-            runs.append([kind, x, x + 1])
-    out, taken = [], sorted((a, b) for _, a, b in base)
-    for kind, a, b in runs:
+def added_spans(text: str, runs: list[tuple[int, int, int, float]], base: list[Span]) -> list[Span]:
+    """Spans that the runs (kind, from, to, nats) give beyond the base ones."""
+    out, taken = [], [(a, b) for _, a, b in base]
+    for kind, a, b, nats in runs:
         while a < b and text[a] in " \n\t.,;:":
             a += 1
         while b > a and text[b - 1] in " \n\t.,;:":
             b -= 1
         free = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
-        if a < b and free and not any(p < b and a < q for p, q in taken) and _fits(KINDS[kind], text[a:b]):
-            out.append((KINDS[kind], a, b))
+        if a >= b or nats < MARGIN or not free or any(p < b and a < q for p, q in taken):
+            continue
+        d = _digits(text[a:b])
+        if KINDS[kind] == "card" and not (13 <= len(d) <= 19 and luhn(d)) or KINDS[kind] == "phone" and len(d) > 15:
+            continue
+        out.append((KINDS[kind], a, b))
     return out
 
 
 def spans_of(tagger: Tagger, texts: list[str]) -> Iterator[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text, both by kind as listed, then start."""
-    marked = [k for k, t in enumerate(texts) if TRIGGER.search(t)]
-    tags = dict(zip(marked, joined_tags(tagger, [texts[k] for k in marked]), strict=True))
+    points = [encode(t) for t in texts]
+    offsets = np.cumsum([0, *map(len, points)])
+    runs: dict[int, list] = {}
+    if offsets[-1]:
+        for k, *run in tagged_runs(tagger, np.concatenate(points), offsets):
+            runs.setdefault(k, []).append(tuple(run))
     for k, t in enumerate(texts):
-        base = base_spans(t) if k in tags else []
-        more = added_spans(t, tags[k], base) if k in tags and tags[k] else []
-        yield base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1]))
+        base = base_spans(t)
+        yield base, sorted(base + added_spans(t, runs.get(k, []), base), key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
 def listed(spans: list[Span]) -> str:
@@ -414,8 +552,8 @@ def find(docs: DataFrame, columns: list[str], parameters: dict[str, np.ndarray]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(parameters)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for lo, hi in tk.pieces(batch.column("_text"), 2 * tk.STEP):
+                part = batch.slice(lo, hi - lo)
                 found = list(spans_of(tagger, [t or "" for t in part.column("_text").to_pylist()]))
                 counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
                 sums = pa.array([hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in found], pa.string())
@@ -446,13 +584,13 @@ def redact(docs: DataFrame, parameters: dict[str, np.ndarray] | None = None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(parameters)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for lo, hi in tk.pieces(batch.column("text"), 2 * tk.STEP):
+                part = batch.slice(lo, hi - lo)
                 texts = part.column("text").to_pylist()
                 new = [None if t is None else masked(t, every) for t, (_, every) in zip(texts, spans_of(tagger, [t or "" for t in texts]), strict=True)]
                 columns = dict(zip(part.schema.names, part.columns, strict=True))
                 columns["text"] = pa.array(new, pa.string())
-                if "n_chars" in columns:
+                if "n_chars" in columns and pa.types.is_integer(columns["n_chars"].type):
                     old = columns["n_chars"].to_pylist()
                     columns["n_chars"] = pa.array([n if t == u or u is None else len(u) for n, t, u in zip(old, texts, new, strict=True)], columns["n_chars"].type)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
