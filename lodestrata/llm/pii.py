@@ -29,10 +29,11 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import textkernel as tk
+from lodestrata.llm.shared import stash
 
 KINDS = ("email", "ip", "card", "phone")
 #: Windows in decoding and their overlap; windows in training and what is seen beside them; labelled windows, built ones.
@@ -389,8 +390,8 @@ def sampled_windows(docs: DataFrame, most: int = SAMPLE) -> list[tuple[str, str]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["sign", "h", "w", "t"])
 
     windows = docs.select("text").where("text is not null").mapInArrow(run, "sign int, h long, w string, t string").distinct()
-    windows = windows.withColumn("rank", F.row_number().over(Window.partitionBy("sign").orderBy("h", "w", "t"))).where(F.col("rank") <= half)
-    return [(r.w, r.t) for r in windows.orderBy("sign", "rank").collect()]
+    windows = stash(windows, "windows")
+    return [(r.w, r.t) for k in (0, 1) for r in windows.where(F.col("sign") == k).orderBy("h", "w", "t").limit(half).collect()]
 
 
 def fit(docs: DataFrame) -> dict[str, np.ndarray]:

@@ -36,6 +36,12 @@ def op6_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("text_md5", F.md5(F.col("text").cast("binary"))).drop("text")
 
 
+def quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotation linking (op6) of conversations whose messages quote one another, as the tables' own do not."""
+    out = quotes.link(quotes.quoted_replies(table(spark, sf_dir, "conversations")))
+    return out.select("conv_id", "turn", "role", "parent_turn", "n_linked", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_tokens").alias("n_tokens"), F.col("_topic").alias("topic"), F.round("_probability", 6).alias("probability"), F.col("_kept").alias("kept"))
@@ -66,7 +72,8 @@ QUERIES = {
         op8_topk_inner_product,
         op9_quality,
         op10_pii,
+        quoted_replies,
     )
 }
 #: Where SQL can express the result. op1, op4, op5, op9 and op10 are tested against brute force in tests/llm.
-ORACLE = {"op2_html_text": html_extract.ORACLE, "op3_sharding": sharding.ORACLE, "op6_quote_linking": quotes.ORACLE, "op7_mixing": mixing.oracle(), "op8_topk_inner_product": topk.ORACLE}
+ORACLE = {"op2_html_text": html_extract.ORACLE, "op3_sharding": sharding.ORACLE, "op6_quote_linking": quotes.ORACLE, "quoted_replies": quotes.QUOTED_ORACLE, "op7_mixing": mixing.oracle(), "op8_topk_inner_product": topk.ORACLE}

@@ -13,13 +13,15 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine)."""
+    """The folder named in spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: executors and driver need a folder they share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestrata-"))
     return jsc.getCheckpointDir().get().rstrip("/")
 
@@ -134,3 +136,23 @@ def in_order(df: DataFrame, group: list[str], order: list[str], carry: list[str]
         *[F.col("_prev").getField(c).alias(f"prev_{c}") for c in carry],
         *[F.col("_next").getField(c).alias(f"next_{c}") for c in carry],
     )
+
+
+def carried(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """df with `name`: the last non-null `value` up to each row, itself included, in its group by `order`.
+
+    As in in_order(), a hot group is spread over ranges, and what the ranges before hold comes from one row a range.
+    """
+    keys = [F.col(k).asc_nulls_first() for k in [*group, *order]]
+    parts = stash(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "carried")
+    within = Window.partitionBy("_part", *group).orderBy(*[F.col(k).asc_nulls_first() for k in order]).rowsBetween(Window.unboundedPreceding, 0)
+    rows = parts.withColumn(name, F.last(value, ignorenulls=True).over(within))
+    spans = parts.groupBy("_part", *group).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_last"))
+    spans = spans.withColumn("_ranges", F.count("*").over(Window.partitionBy(*group))).where("_ranges > 1")
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("_part", *[F.col(g).alias(f"_g_{g}") for g in group], F.last("_last", ignorenulls=True).over(before).alias("_before"))
+    on: Column = rows["_part"] == spans["_part"]
+    for g in group:
+        on = on & rows[g].eqNullSafe(spans[f"_g_{g}"])
+    out = rows.join(spans, on, "left").withColumn(name, F.coalesce(name, "_before"))
+    return out.select(*df.columns, name)

@@ -1,6 +1,7 @@
 """Page differencing, compacted shards, quotation linking and the pipeline against plain versions."""
 
 import random
+import re
 import time
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestrata.llm import html_extract as H
-from lodestrata.llm import quotes, sharding
+from lodestrata.llm import quotes, sharding, shared
 
 
 def lcs(a, b):
@@ -136,6 +137,89 @@ def test_branches_come_after_the_run_they_leave(spark):
     assert all(r.parent_position is None or r.parent_position < r.position for r in out.values())
 
 
+def brute_link(messages):
+    """(parent index, linked units, own text, place) of one conversation's messages, by the rules of the docstring."""
+    plain = lambda x: re.sub(r"\s+", " ", re.sub(r"^[ \t]*(>[ \t]?)+", "", x)).strip(" ").lower()
+    level = lambda x: len(re.sub(r"[ \t]", "", (re.match(r"[ \t]*(>[ \t]?)+", x) or [""])[0]))
+    own, parent, count = [], [], []
+    for k, text in enumerate(messages):
+        lines = text.split("\n")
+        levels = [level(x) for x in lines]
+        kept = [x for i, x in enumerate(lines) if levels[i] == 0 and not (i + 1 < len(lines) and levels[i + 1] > 0 and re.match(r"(?i)[ \t]*\S.{0,200}(wrote|writes):[ \t]*$", x))]
+        own.append(re.sub(r"(?:\n[ \t]*)+$", "", re.sub(r"^(?:[ \t]*\n)+", "", "\n".join(kept))))
+        units = set()
+        i = 0
+        while i < len(lines):
+            j = i
+            while j < len(lines) and levels[j] == levels[i]:
+                j += 1
+            if levels[i]:
+                part = [plain(x) for x in lines[i:j]]
+                units |= {(levels[i], x) for x in [*part, re.sub(r"\s+", " ", " ".join(part)).strip(" ")] if x}
+            i = j
+        votes = {}
+        n = 0
+        for lv, unit in units:
+            for h in range(k - 1, -1, -1):
+                if unit in {plain(x) for x in [own[h], *re.split(r"\n[ \t]*\n", own[h]), *own[h].split("\n")]}:
+                    votes[lv, h] = votes.get((lv, h), 0) + len(unit)
+                    n += 1
+                    break
+        best = max(votes, key=lambda v: (-v[0], votes[v], v[1]))[1] if votes else k - 1
+        parent.append(best if k else None)
+        count.append(n)
+    order = []
+
+    def visit(head):
+        run = [head]
+        while run[-1] + 1 < len(messages) and parent[run[-1] + 1] == run[-1]:
+            run.append(run[-1] + 1)
+        order.extend(run)
+        for at in reversed(run):
+            for x in range(at + 2, len(messages)):
+                if parent[x] == at:
+                    visit(x)
+
+    visit(0)
+    return [(parent[k], count[k], own[k], order.index(k) + 1) for k in range(len(messages))]
+
+
+def test_linking_against_brute_force(spark):
+    r = random.Random(11)
+    said = ["We meet on Monday.", "Bring the plans.", "Which plans?", "The  house plans.", "fine", "No.", "Fine", "See below:", "Thanks a lot,\nfriend"]
+    rows, talks = [], {}
+    for conv in range(40):
+        messages = []
+        for k in range(r.randint(1, 14)):
+            lines = []
+            for _ in range(r.randint(1, 4)):
+                if messages and r.random() < 0.6:
+                    mark = "> " if r.random() < 0.7 else r.choice([">", ">> ", "> > ", " > "])
+                    quote = r.choice(messages).split("\n")
+                    if r.random() < 0.3:
+                        lines.append("On Monday, ann wrote:")
+                    lines += [mark + (x.upper() if r.random() < 0.2 else x) for x in quote[: r.randint(1, len(quote))]]
+                lines.append(r.choice([*said, f"point {k}"]) if r.random() < 0.9 else "")
+            messages.append("\n".join(lines))
+        talks[conv] = messages
+        rows += [(conv, k, "u", m) for k, m in enumerate(messages)]
+    got = {(x.conv_id, x.turn): (x.parent_turn, x.n_linked, x.text, x.position) for x in quotes.link(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    want = {(c, k): x for c, messages in talks.items() for k, x in enumerate(brute_link(messages))}
+    assert got == want
+    assert sum(p is not None and p != k - 1 for (_, k), (p, *_) in want.items()) > 50
+
+
+def test_carried(spark):
+    r = random.Random(4)
+    rows = [(r.choice("aab") if r.random() > 0.1 else None, o, r.randint(0, 9) if r.random() < 0.05 else None) for o in range(600)]
+    out = shared.carried(spark.createDataFrame(rows, "g string, o int, v int"), ["g"], ["o"], "v", "last").collect()
+    for g in {x[0] for x in rows}:
+        last = None
+        for x in sorted((x for x in out if x.g == g), key=lambda x: x.o):
+            last = x.v if x.v is not None else last
+            assert x["last"] == last
+
+
 def test_pipeline(spark):
     r = random.Random(3)
     words = "the old mill by the river was sold to a family from the town who want to grind corn again".split()
