@@ -4,21 +4,26 @@ A shard set is a folder with immutable runs and versioned manifests. append() wr
 commits a manifest that lists it. compact() takes runs of like size (each within a factor of SIMILAR of the group's mean,
 or all of under SMALL bytes), and where at least FAN_IN are alike merges the oldest FAN_IN into one run of shards of about
 `target` bytes; it repeats until no group is full, so every row is rewritten a number of times that grows with the
-logarithm of the set. A manifest is written aside and renamed to its version's name; the rename fails if that version
-exists, so of two writers one commits and the other starts again, and readers see one whole version or another. Runs that
-no manifest of the last KEEP versions lists are removed after a commit.
+logarithm of the set. A manifest is written aside and then published under its version's name by a step that fails if the
+name is taken (a hard link on a local file system, FileContext's rename without overwrite elsewhere, which HDFS does in one
+step): of two writers of a version one commits and the other starts again, and readers see one whole version or another. A
+store whose rename is not one step (plain object stores) allows one writer at a time. Runs that no manifest of the last KEEP
+versions lists are removed after a commit.
 
 Which shard of a run a row goes to is a hash of its id and text: even in size whatever the ids, the source or the copies
-are, and the same on a retry. Sizes are bytes of text. Any columns are kept; null ids and texts and repeated rows are rows
-like others; an empty arrival commits nothing.
+are, and the same on a retry; each shard is written by a task of its own. Sizes are bytes of text. A row is stored as one
+struct, so columns of any name and type are kept; null ids and texts and repeated rows are rows like others; an empty
+arrival commits nothing, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,11 +90,29 @@ class ShardSet:
         stream = fs.create(aside, False)
         stream.write(bytearray(json.dumps({"version": version, "runs": [asdict(r) for r in runs]}).encode()))
         stream.close()
-        if fs.exists(final) or not fs.rename(aside, final):
+        if not self.publish(fs, aside, final):
             fs.delete(aside, False)
             raise Conflict(version)
         self.sweep(version)
 
+    def publish(self, fs, aside, final) -> bool:
+        """Give the file its final name, unless there is one of that name."""
+        jvm = self.spark._jvm
+        try:
+            if fs.getUri().getScheme() == "file":
+                local = lambda p: jvm.java.nio.file.Paths.get(fs.makeQualified(p).toUri())
+                jvm.java.nio.file.Files.createLink(local(final), local(aside))
+                fs.delete(aside, False)
+            else:
+                none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+                none[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(aside, final, none)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
     def sweep(self, version: int) -> None:
         """Remove runs that none of the last KEEP versions lists."""
         live = {r.name for v in range(max(1, version - KEEP + 1), version + 1) for r in self.runs(v)}
@@ -101,7 +124,7 @@ class ShardSet:
     # data
 
     def write(self, rows: DataFrame, size: int, tier: int, born: int) -> Run:
-        """One run of rows, which have _shard: one file for each shard and task."""
+        """One run of rows (row, _shard): one file for each shard and task."""
         run = Run(f"run-{uuid.uuid4().hex}", born, tier, size)
         path = f"{self.folder}/runs/{run.name}"
         rows.write.partitionBy("_shard").parquet(path)
@@ -111,9 +134,28 @@ class ShardSet:
     def append(self, rows: DataFrame, size: int | None = None) -> None:
         """Commit arrivals, unmoved: each task's rows are a small shard. `size` is their bytes, if known."""
         size = rows.agg(F.sum(row_bytes())).first()[0] if size is None else size
-        if size is None:
+        if size is not None:
+            self.add(self.write(packed(rows).withColumn("_shard", F.spark_partition_id()), size, 0, 0))
+
+    def arrive(self, rows: DataFrame, arrival: Column) -> Iterator[None]:
+        """Commit rows as one run for each value of `arrival`, from the least on: one pass writes them all."""
+        rows = rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("row"), row_bytes().alias("_n"), arrival.alias("_arrival"))
+        name = f"run-{uuid.uuid4().hex}"
+        path = f"{self.folder}/runs/{name}"
+        rows.withColumn("_shard", F.spark_partition_id()).write.partitionBy("_arrival", "_shard").parquet(path)
+        if rows.isEmpty():
             return
-        run = self.write(rows.withColumn("_shard", F.spark_partition_id()), size, 0, 0)
+        found = self.spark.read.parquet(path).groupBy("_arrival", "_shard").agg(F.count("*").alias("rows"), F.sum("_n").alias("size"))
+        runs: dict[int, Run] = {}
+        for r in found.orderBy("_arrival", "_shard").collect():  # a row for each task and arrival
+            run = runs.setdefault(r["_arrival"], Run(f"{name}/_arrival={r['_arrival']}", 0, 0, 0))
+            run.rows.append(r["rows"])
+            run.size += r["size"]
+        for k in sorted(runs):
+            self.add(runs[k])
+            yield
+
+    def add(self, run: Run) -> None:
         while True:
             version = self.version()
             run.born = version + 1
@@ -145,7 +187,7 @@ class ShardSet:
             size = sum(r.size for r in group)
             names = {r.name for r in group}
             shards = max(1, -(-size // self.target))
-            rows = self.read_runs(group).drop("_run").withColumn("_shard", shard_of(shards)).repartition(shards, "_shard")
+            rows = self.rows_of(group).select("row", shard_of(shards, "row.doc_id", "row.text").alias("_shard")).repartitionById(shards, "_shard")
             merged = self.write(rows, size, 1 + max(r.tier for r in group), min(r.born for r in group))
             while True:
                 try:
@@ -157,27 +199,30 @@ class ShardSet:
                     if not names <= {r.name for r in runs}:
                         break  # another writer has merged some of these
 
-    def read_runs(self, runs: list[Run]) -> DataFrame:
+    def rows_of(self, runs: list[Run]) -> DataFrame:
+        """(row, _run, _shard) of these runs, numbered from the oldest on, from 0."""
         out = None
         for k, r in enumerate(sorted(runs, key=lambda r: r.born)):
-            part = self.spark.read.parquet(f"{self.folder}/runs/{r.name}").withColumn("_run", F.lit(k))
+            part = self.spark.read.parquet(f"{self.folder}/runs/{r.name}").select("row", F.lit(k).alias("_run"), "_shard")
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         return out
 
     def read(self) -> DataFrame | None:
-        """All rows of the last version, with _run (runs from the oldest on, from 0) and _shard; None for an empty set."""
-        return self.read_runs(self.runs())
+        """All rows of the last version as they came; None for an empty set."""
+        runs = self.runs()
+        return self.rows_of(runs).select("row.*") if runs else None
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """(row): all columns as one struct."""
+    return rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("row"))
 
 
 def shard(docs: DataFrame, arrivals: int = ARRIVALS, target: int = TARGET) -> ShardSet:
-    """Append docs in so many arrivals (by a hash of the id), compacting after each."""
-    spark = docs.sparkSession
-    out = ShardSet(spark, new_folder(spark, "shards"), target)
-    sizes = {r["k"]: r["b"] for r in docs.groupBy(arrival_of(arrivals).alias("k")).agg(F.sum(row_bytes()).alias("b")).collect()}
-    for k in range(arrivals):
-        if k in sizes:
-            out.append(docs.where(arrival_of(arrivals) == k), sizes[k])
-            out.compact()
+    """Commit docs in so many arrivals (by a hash of the id), compacting after each."""
+    out = ShardSet(docs.sparkSession, new_folder(docs.sparkSession, "shards"), target)
+    for _ in out.arrive(docs, arrival_of(arrivals)):
+        out.compact()
     return out
 
 
@@ -188,9 +233,10 @@ def arrival_of(arrivals: int, key: str = "doc_id") -> Column:
 
 def stored(docs: DataFrame) -> DataFrame:
     """doc_id, arrival, n_bytes, text_md5, run, shard of each row, read from the shards after the last commit."""
-    rows = shard(docs).read()
-    if rows is None:
-        rows = docs.withColumns({"_run": F.lit(0), "_shard": F.lit(0)})
+    store = shard(docs)
+    runs = store.runs()
+    rows = store.rows_of(runs) if runs else packed(docs).withColumns({"_run": F.lit(0), "_shard": F.lit(0)})
+    rows = rows.select("row.doc_id", "row.text", "_run", "_shard")
     return rows.select(
         "doc_id", arrival_of(ARRIVALS).alias("arrival"), row_bytes().alias("n_bytes"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), F.col("_run").cast("int").alias("run"), F.col("_shard").cast("int").alias("shard")
     )

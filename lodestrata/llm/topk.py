@@ -1,8 +1,9 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Components become integers floor(64 * x). The queries travel in blocks of a fixed size (a broadcast bounded by
-QUERY_BLOCK vectors, whatever the data); the candidates stay where they are. A first pass over the SEEDS longest vectors
-gives each query a threshold: its k-th best score so far. In every task the vectors are sorted by length and cut into
+QUERY_BLOCK vectors, whatever the data, written, searched and freed one by one); the candidates stay where they are. The
+SEEDS longest vectors, broadcast once, give each query a threshold on the executors: its k-th best score so far. In every
+task the vectors are sorted by length and cut into
 buckets of like length. For a bucket of longest length l a query q needs a cosine of at least threshold / (|q| l):
 
 * over 1: the bucket is skipped for q;
@@ -16,20 +17,22 @@ query, all at or above the query's first threshold; a grouped top-k joins them.
 Vectors that are null or hold null or non-finite components take no part; vectors of other lengths count as filled up
 with zeros. A query's own row is the candidate of the same vec_id; rows of null vec_id take no part. Ties go to the
 smaller vec_id; repeated rows of another id are repeated candidates, and an id with several vectors asks with the least.
+Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.shared import stash
 
-K, SEEDS, QUERY_BLOCK, BUCKET, RATIO, COSINE = 20, 4096, 16_384, 4096, 0.9, 0.6
+K, SEEDS, QUERY_BLOCK, BUCKET, RATIO, COSINE = 20, 4096, 32_768, 4096, 0.9, 0.6
 
 
 def integers(vectors: DataFrame) -> DataFrame:
@@ -40,10 +43,17 @@ def integers(vectors: DataFrame) -> DataFrame:
     return out.withColumn("n2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
-def matrix(rows: list, width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width), np.int64)
-    for k, r in enumerate(rows):
-        out[k, : len(r)] = r
+def matrix(vectors: pa.ListArray, width: int) -> np.ndarray:
+    """The vectors as rows, filled up with zeros."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+    sizes = np.diff(vectors.offsets.to_numpy())
+    if (sizes == width).all():
+        return flat.reshape(len(vectors), width)
+    out = np.zeros((len(vectors), width), np.int64)
+    row = np.repeat(np.arange(len(vectors)), sizes)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     return out
 
 
@@ -137,39 +147,46 @@ class Best:
 
 def search(vectors: DataFrame, queries_where: str = "vec_id % 20 = 0", k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best candidates among all other rows."""
-    spark = vectors.sparkSession
+    context = vectors.sparkSession.sparkContext
     rows = stash(integers(vectors), "vectors")
-    size = rows.agg(F.count("*"), F.max(F.size("v"))).first()
-    width = int(size[1] or 0)
+    width = int(rows.agg(F.max(F.size("v"))).first()[0] or 0)
     asked = rows.where(queries_where).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_queries = asked.count()
-    blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    seeds = rows.orderBy(F.desc("n2"), "vec_id").limit(SEEDS).collect()
-    seed_ids, seed_v = np.array([r.vec_id for r in seeds], np.int64), matrix([r.v for r in seeds], width)
-    found = None
+    first = rows.orderBy(F.desc("n2"), "vec_id").limit(SEEDS).select("vec_id", "v").toArrow()
+    seeds = context.broadcast((first["vec_id"].to_numpy(), matrix(first["v"], width)))
+
+    def thresholds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, v = seeds.value
+        for batch in batches:
+            q = Queries(batch["vec_id"].to_numpy(), matrix(batch["v"], width), k)
+            best = Best(len(q.ids), k)
+            if len(q.ids):
+                q.scan(ids, v, best)
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["v"], pa.array(best.threshold())], names=["vec_id", "v", "floor"])
+
+    asked = stash(asked.mapInArrow(thresholds, "vec_id long, v array<long>, floor double"), "asked")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    found = []
     for b in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
-        q = Queries(np.array([r.vec_id for r in block], np.int64), matrix([r.v for r in block], width), k)
-        best = Best(len(q.ids), k)
-        q.scan(seed_ids, seed_v, best)
-        q.floor = best.threshold()
-        shipped = spark.sparkContext.broadcast((q.ids, q.v, q.floor))
-
-        def run(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
+        block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").toArrow()
+        shipped = context.broadcast((block["vec_id"].to_numpy(), matrix(block["v"], width), block["floor"].to_numpy()))
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             ids, v, floor = shipped.value
             q = Queries(ids, v, k)
             q.floor = floor
             best = Best(len(ids), k)
             for batch in batches:
-                if len(batch) and len(ids):
-                    q.scan(batch["vec_id"].to_numpy(np.int64), matrix(batch["v"].tolist(), width), best)
+                if batch.num_rows and len(ids):
+                    q.scan(batch["vec_id"].to_numpy(), matrix(batch["v"], width), best)
             n, vec, score = best.rows
-            yield pd.DataFrame({"query_id": ids[n], "vec_id": vec, "score": score})
+            yield pa.RecordBatch.from_arrays([pa.array(ids[n]), pa.array(vec), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-        part = rows.select("vec_id", "v").mapInPandas(run, "query_id long, vec_id long, score long")
-        found = part if found is None else found.union(part)
+        part = rows.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
+        found.append(stash(part, "found"))
+        shipped.destroy()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(order))
+    return out.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """

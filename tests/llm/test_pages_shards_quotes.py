@@ -1,8 +1,10 @@
 """Page differencing, compacted shards, quotation linking and the pipeline against plain versions."""
 
+import os
 import random
 import re
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +105,36 @@ def test_shards(spark, tmp_path):
     assert sharding.stored(docs.limit(0)).count() == 0
 
 
+def test_of_two_writers_one_commits(spark, tmp_path):
+    store = sharding.ShardSet(spark, f"file://{tmp_path}/set")
+    docs = spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, text string")
+    store.append(docs)
+    runs, version = store.runs(), store.version()
+
+    def attempt(_):
+        try:
+            store.commit(runs, version + 1)
+        except sharding.Conflict:
+            return 0
+        return 1
+
+    with ThreadPoolExecutor(8) as pool:
+        assert sum(pool.map(attempt, range(24))) == 1 and store.version() == version + 1
+        list(pool.map(lambda k: store.append(docs.where(f"doc_id = {k}")), (1, 2, 1, 2)))  # each starts again until it has a version
+    assert store.version() == version + 5 and store.read().count() == 6
+    assert [f for f in os.listdir(tmp_path / "set" / "manifests") if not f.startswith((".", "v"))] == []
+
+
+def test_shards_keep_columns_of_any_name(spark):
+    rows = [(k, "t" * k, k, f"s{k}", 1.5, "x") for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _run int, _shard string, _arrival double, row string")
+    store = sharding.shard(docs, arrivals=5, target=300)
+    assert sorted(store.read().collect()) == sorted(docs.collect()) and store.read().columns == docs.columns
+    wide = docs.withColumn("more", docs.doc_id)
+    store.append(wide)
+    assert store.read().where("more is not null").count() == 90 and store.read().count() == 180
+
+
 TALK = [
     ("c", 1, "a", "We meet on Monday.\nBring the plans."),
     ("c", 2, "b", "> We meet on Monday.\nFine with me."),
