@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm import textkernel as tk
 from lodestrata.llm.shared import stash
 
-ALPHA, CLOSE, MOST_SWEEPS = 0.85, 1e-10, 400
+ALPHA, CLOSE, MOST_SWEEPS = 0.85, 1e-13, 400
 #: Sweeps that the SQL does.
 SQL_SWEEPS = 60
 #: Cells up to which they are broadcast; more are joined with salted keys.
