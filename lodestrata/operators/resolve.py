@@ -72,9 +72,16 @@ def scopes(rows: DataFrame, member: str, line: str, is_marker: str, is_write: st
 def reconcile(placeholders: DataFrame, named: DataFrame, number: str, base: str, key: str) -> DataFrame:
     """placeholder, target, candidates: a placeholder file takes the one named file of its number whose base fits (or is null)."""
     p = placeholders.select(F.col(key).alias("placeholder"), F.col(number).alias("_n"), F.col(base).alias("_b"))
-    n = named.select(F.col(key).alias("target"), F.col(number).alias("_m"), F.col(base).alias("_c"))
-    fits = p.join(n, (F.col("_n") == F.col("_m")) & (F.col("_b").isNull() | F.col("_c").isNull() | (F.col("_b") == F.col("_c"))))
-    found = fits.groupBy("placeholder").agg(F.count("*").alias("candidates"), F.min("target").alias("target"))
+    n = named.where(F.col(number).isNotNull()).select(F.col(key).alias("_t"), F.col(number).alias("_n"), F.col(base).alias("_b"))
+    # sums by number and base first: files of one number make no pairs
+    held = lambda rows, *keys: rows.groupBy(*keys).agg(F.count("*").alias("_c"), F.min("_t").alias("_t"))
+    own = held(n.where("_b is not null"), "_n", "_b")
+    open_ = held(n.where("_b is null"), "_n").withColumnsRenamed({"_c": "_c0", "_t": "_t0"})
+    every = held(n, "_n")
+    based = p.where("_b is not null").join(own, ["_n", "_b"], "left").join(open_, "_n", "left")
+    based = based.select("placeholder", (F.coalesce("_c", F.lit(0)) + F.coalesce("_c0", F.lit(0))).alias("candidates"), F.least("_t", "_t0").alias("target"))
+    free = p.where("_b is null").join(every, "_n").select("placeholder", F.col("_c").alias("candidates"), F.col("_t").alias("target"))
+    found = based.where("candidates > 0").unionByName(free).groupBy("placeholder").agg(F.sum("candidates").alias("candidates"), F.min("target").alias("target"))
     return found.withColumn("target", F.when(F.col("candidates") == 1, F.col("target")))
 
 
@@ -131,3 +138,67 @@ def closures(edges: DataFrame, roots: DataFrame, max_depth: int = 12, source: st
         seen = front if seen is None else seen.unionByName(front)
         front = front.select("member", "node")
     return seen if seen is not None else front.select("member", "node", "depth")
+
+
+def resolve_entity(wanted: DataFrame, entities: DataFrame, name: str, family: str, kind: str, default: str) -> DataFrame:
+    """wanted with the entity its name means in a family of kinds (those that begin with `family`), without regard to case.
+
+    entity_name and entity_kind are those of the least (kind, name) that fits, or the name itself under the `default` kind.
+    """
+    held = entities.where(F.col(kind).startswith(family)).groupBy(F.upper(name).alias("_upper")).agg(F.min(F.struct(kind, name)).alias("_e"))
+    out = wanted.join(held, F.upper(wanted[name]) == held["_upper"], "left")
+    return out.withColumns({"entity_name": F.coalesce(F.col("_e")[name], F.col(name)), "entity_kind": F.coalesce(F.col("_e")[kind], F.lit(default))}).drop("_upper", "_e")
+
+
+def linked_entities(links: DataFrame, entities: DataFrame, members: DataFrame, source: str, target: str, via: str, key: str, name: str, member_key: str, member_name: str) -> DataFrame:
+    """links with from_name, to_name and via_name: both ends must be known entities, the member that states the link may be unknown."""
+    a = entities.select(F.col(key).alias(source), F.col(name).alias("from_name"))
+    b = entities.select(F.col(key).alias(target), F.col(name).alias("to_name"))
+    m = members.select(F.col(member_key).alias(via), F.col(member_name).alias("via_name"))
+    return links.join(a, source).join(b, target).join(m, via, "left")
+
+
+def callers_of(edges: DataFrame, wanted: DataFrame, callee: str, name: str) -> DataFrame:
+    """edges that call a wanted name, with the name, without regard to case."""
+    w = wanted.select(F.col(name).alias("_wanted")).distinct()
+    return edges.join(w, F.upper(edges[callee]) == F.upper("_wanted")).withColumnRenamed("_wanted", name) if name not in edges.columns else edges.join(w, F.upper(edges[callee]) == F.upper("_wanted"), "left_semi")
+
+
+def accesses_of(accesses: DataFrame, wanted: DataFrame, entity: str) -> DataFrame:
+    """accesses of the wanted entities, without regard to case."""
+    w = wanted.select(F.upper(entity).alias("_wanted")).distinct()
+    return accesses.join(w, F.upper(accesses[entity]) == w["_wanted"], "left_semi")
+
+
+def unknown_references(refs: DataFrame, known: DataFrame, ref: str) -> DataFrame:
+    """Distinct references, in capitals, that are not known under any case."""
+    k = known.select(F.upper(ref).alias(ref)).distinct()
+    return refs.select(F.upper(ref).alias(ref)).distinct().join(k, ref, "left_anti")
+
+
+def both_judged(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """One row for each key that both sides judged, with both verdicts."""
+    return left.join(right, key)
+
+
+def facts_of_members(facts: DataFrame, members: DataFrame, member: str, key: str, carry: list[str]) -> DataFrame:
+    """facts of the given members, with the members' columns `carry`; Catalyst broadcasts the members where they are few."""
+    m = members.select(F.col(key).alias("_key"), *carry)
+    return facts.join(m, facts[member] == m["_key"]).drop("_key")
+
+
+def facts_in_batch(facts: DataFrame, batch: DataFrame, member: str, key: str) -> DataFrame:
+    """facts of the members in a batch."""
+    return facts.join(batch.select(F.col(key).alias("_key")).distinct(), F.col(member) == F.col("_key"), "left_semi")
+
+
+def unambiguous(members: DataFrame, name: str) -> DataFrame:
+    """members whose name, case and all, no other member has."""
+    held = members.groupBy(name).agg(F.count("*").alias("_n")).where("_n = 1").drop("_n")
+    return members.join(held, name, "left_semi")
+
+
+def boundaries(markers: DataFrame, member: str, line: str) -> DataFrame:
+    """Each marker with the one before and after it in its member."""
+    w = Window.partitionBy(member).orderBy(line)
+    return markers.withColumns({"previous": F.lag(line).over(w), "following": F.lead(line).over(w)})

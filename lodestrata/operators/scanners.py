@@ -76,6 +76,27 @@ def natural_statements(lines: list[str]) -> Iterator[tuple[int, str]]:
             yield first + 1, text
 
 
+#: What shows structured mode, and what shows reporting mode.
+N_STRUCTURED = re.compile(r"\bEND-(IF|DEFINE|DECIDE|REPEAT|FOR|SUBROUTINE|WORK|ALL)\b", re.IGNORECASE)
+N_REPORTING = re.compile(r"^\s*(LOOP\b|DO\b\s*$|DOEND\b)", re.IGNORECASE)
+
+
+def natural_mode(lines: list[str]) -> str:
+    """structured, reporting or unknown."""
+    if any(N_STRUCTURED.search(t) for t in lines):
+        return "structured"
+    return "reporting" if any(N_REPORTING.match(t) for t in lines) else "unknown"
+
+
+def indented_loops(lines: list[str]) -> dict[int, int] | None:
+    """Indent of each LOOP line by number, if indents can be trusted: each is followed by a deeper code line. Else None."""
+    code = [(n, len(t) - len(t.lstrip()), bool(re.match(r"\s*LOOP\b", t, re.IGNORECASE))) for n, t in enumerate(lines, 1) if without_comment(t)]
+    after = [*code[1:], (0, -1, False)]
+    if any(loop and below[1] <= indent for (_, indent, loop), below in zip(code, after, strict=True)):
+        return None
+    return {n: indent for n, indent, loop in code if loop}
+
+
 def without_comment(line: str) -> str:
     if re.match(r"\*|\s*/\*", line):
         return ""
@@ -87,8 +108,23 @@ def scan_natural(lines: list[str], object_type: str | None = None) -> Scan:
     s, blocks, views, labels = Scan(), [], {}, {}
     own = {m[1].upper() for t in lines if (m := re.match(r"\s*DEFINE SUBROUTINE\s+(\S+)", t, re.IGNORECASE))}
     scope, coded = None, 0
+    mode = natural_mode(lines)
+    s.add(None, "metric", None, "mode", None, mode)
+    loops = indented_loops(lines) if mode == "reporting" else {}
+    if loops is None:
+        s.gap(None, "reporting_mode", "indents do not show where loops end", "high")
+        loops = {}
+    if object_type == "map":
+        s.gap(None, "map_body_unverified", "the fields of a map are read from its text alone")
     for line, text in natural_statements(lines):
         coded += 1
+        if loops:
+            indent = len(lines[line - 1]) - len(lines[line - 1].lstrip())
+            ended = next((k for k, b in enumerate(blocks) if b[0] == "LOOP" and indent <= loops[b[1]]), len(blocks))
+            del blocks[ended:]  # with the loop, what it opened
+            if line in loops:
+                blocks.append(("LOOP", line))
+                continue
         label = re.match(r"([A-Z][A-Z0-9-]*)\.\s+(.*)$", text, re.IGNORECASE | re.DOTALL)
         if label:
             text = label[2]
@@ -112,7 +148,7 @@ def scan_natural(lines: list[str], object_type: str | None = None) -> Scan:
         elif not natural_statement(s, line, text, upper, blocks, views, labels, own, label[1].upper() if label else None, object_type):
             if len(text) > 3:
                 s.gap(line, "unparsed_line", text, "low")
-    for block, line in blocks:
+    for block, line in [b for b in blocks if b[0] != "LOOP"]:
         s.gap(line, "unparsed_line", f"{block} is not closed")
     s.add(None, "metric", None, "code_lines", None, str(coded))
     return s
@@ -191,16 +227,25 @@ def natural_access(s: Scan, line: int, text: str, m: re.Match, blocks: list, vie
 
 # ---- Mantis ----
 
-#: The codes of direct calls and what they do to a record.
-SUPRA_CODES = {c: "R" for c in "READM READV READR READD READX FINDX RDNXT".split()} | {c: "C" for c in "ADD-M ADDVA ADDVB ADDVC ADDVR".split()} | {c: "U" for c in "WRITM WRITV".split()} | {c: "D" for c in "DEL-M DELVD".split()}
-M_TXN = {"COMMIT": "END", "ENDTR": "END", "SINOF": "END", "ROLLBACK": "BACKOUT", "RESET": "BACKOUT", "SINON": "START"}
+#: The codes of direct calls and what they do to a record; transaction words; comments; declarations.
+SUPRA_CODES = {
+    "READM": "R", "READD": "R", "READV": "R", "READR": "R", "RDNXT": "R", "READX": "R", "RDNXTX": "R",
+    "ADD-M": "C", "ADDM": "C", "ADD-D": "C", "ADDD": "C", "ADDVA": "C", "ADDVB": "C",
+    "WRITM": "U", "WRITD": "U", "WRITV": "U", "WRITX": "U",
+    "DEL-M": "D", "DELM": "D", "DEL-D": "D", "DELD": "D", "DELVD": "D",
+}
+M_TXN = {
+    "COMMIT": "COMMIT", "ROLLBACK": "ROLLBACK", "ENDTR": "ENDTR", "ENDTRAN": "ENDTR", "CTRL-BEGIN": "CTRL-BEGIN", "CTRL-END": "CTRL-END", "SINON": "SIGNON", "SINOF": "SIGNOFF",
+}
+M_COMMENTS = ("*", "%", "!", "/*", "//")
+M_DECLARED = ("TEXT", "SMALLTEXT", "BIGTEXT", "NUMERIC", "BIGNUMERIC", "SMALLNUMERIC", "ARRAY", "KANJI", "LEVEL", "PICTURE")
 
 
 def scan_mantis(lines: list[str], object_type: str | None = None) -> Scan:
     s, depth, opened, coded, bad = Scan(), 0, [], 0, 0
     for number, raw in enumerate(lines, 1):
         text = raw.strip()
-        if not text or text.startswith(("|", "*", "\"")):
+        if not text or text.startswith(M_COMMENTS):
             continue
         coded += 1
         text = re.sub(r"^[0-9]+\s+\.*", "", text).lstrip(".")
@@ -233,7 +278,7 @@ def scan_mantis(lines: list[str], object_type: str | None = None) -> Scan:
                 s.add(number, "call", "INCLUDE", target, "INCLUDE", None, depth)
             else:
                 s.add(number, "call", word, target, "PERFORM_INTERNAL" if word == "DO" else word, None, depth)
-        elif word in ("PROGRAM", "ENTRY", "EXIT", "EXTERNAL", "VIEW", "SCREEN", "FILE", "ACCESS", "INTERFACE", "TEXT", "SMALL", "BIG", "DECIMAL", "INTEGER", "KANJI", "TOTAL"):
+        elif word in ("PROGRAM", "ENTRY", "EXIT", "EXTERNAL", "VIEW", "SCREEN", "FILE", "ACCESS", "INTERFACE", *M_DECLARED):
             fact = {"PROGRAM": "declaration", "EXTERNAL": "declaration", "VIEW": "view"}.get(word, "variable")
             t = re.match(r"[A-Z]+\s+([A-Z0-9_-]+)", upper)
             s.add(number, fact, word, t[1] if t else None, None, name)
@@ -482,20 +527,20 @@ SCANNERS: dict[str, Callable[..., Scan]] = {
 }
 
 
-def scan(members: DataFrame) -> DataFrame:
-    """All facts of members (name, dialect, object_type, text); an unknown dialect gives one gap."""
+def scan(members: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """All facts of members (name, dialect, object_type, text), with the string columns `keep`; an unknown dialect gives one gap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for name, dialect, kind, text in zip(*[batch.column(c).to_pylist() for c in ("name", "dialect", "object_type", "text")], strict=True):
+            for name, dialect, kind, text, *more in zip(*[batch.column(c).to_pylist() for c in ("name", "dialect", "object_type", "text", *keep)], strict=True):
                 scanner = SCANNERS.get(dialect)
                 found = scanner((text or "").split("\n"), kind).rows if scanner else [(None, "gap", "medium", None, "ambiguous_dialect", dialect, None, None)]
-                rows += [(name, *r) for r in found]
-            kinds = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["member", "line_no", *COLUMNS])
+                rows += [(name, *r, *more) for r in found]
+            kinds = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.int32(), pa.string(), *[pa.string()] * len(keep)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["member", "line_no", *COLUMNS, *keep])
 
-    return members.select("name", "dialect", "object_type", "text").mapInArrow(run, SCHEMA)
+    return members.select("name", "dialect", "object_type", "text", *keep).mapInArrow(run, SCHEMA + "".join(f", `{c}` string" for c in keep))
 
 
 def facts_of(rows: DataFrame, fact: str) -> DataFrame:

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir (a temporary one only where none is set)."""
+    """A reliable checkpoint in the folder of spark.checkpoint.dir (a temporary one where none is set in local mode; an error on a cluster)."""
     spark = df.sparkSession
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestrata-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors and driver need a folder they share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestrata-"))
     return df.checkpoint(eager=True)

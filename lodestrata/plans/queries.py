@@ -206,20 +206,22 @@ def J07_transaction_scopes(spark, d):
 left join supplier s on s.s_nationkey = n.n_nationkey and s.s_suppkey % 10 = 0""")
 def J08_entity_links(spark, d):
     n, r, s = table(spark, d, "nation"), table(spark, d, "region"), table(spark, d, "supplier").where("s_suppkey % 10 = 0")
-    out = n.join(r, n.n_regionkey == r.r_regionkey).join(s, s.s_nationkey == n.n_nationkey, "left")
-    return out.select(F.col("r_name").alias("from_name"), F.col("n_name").alias("link"), F.col("s_name").alias("via_name"))
+    entities = r.select(F.concat(F.lit("r"), "r_regionkey").alias("k"), F.col("r_name").alias("name")).unionByName(n.select(F.concat(F.lit("n"), "n_nationkey").alias("k"), F.col("n_name").alias("name")))
+    links = n.select(F.concat(F.lit("r"), "n_regionkey").alias("a"), F.concat(F.lit("n"), "n_nationkey").alias("b"), F.col("n_nationkey").alias("via"))
+    out = resolve.linked_entities(links, entities, s, "a", "b", "via", "k", "name", "s_nationkey", "s_name")
+    return out.select("from_name", F.col("to_name").alias("link"), "via_name")
 
 
 @query(f"with {EDGES} select 'PART' || p_partkey as name, caller, line_no from part join edges on upper(callee) = upper('PART' || p_partkey) where p_size = 1")
 def J09_inbound_callers(spark, d):
     e, p = edges(spark, d), parts(spark, d).where("p_size = 1")
-    return p.join(e, F.upper(e["callee"]) == F.upper(p["name"])).select("name", "caller", "line_no")
+    return resolve.callers_of(e, p, "callee", "name").select("name", "caller", "line_no")
 
 
 @query(f"with {ACCESSES} select entity, member, line_no, crud from acc where entity in (select 'E' || k from range(10) t(k))")
 def J10_accessed_by(spark, d):
     wanted = spark.range(10).select(F.concat(F.lit("E"), F.col("id").cast("string")).alias("entity"))
-    return accesses(spark, d).join(wanted, "entity", "left_semi").select("entity", "member", "line_no", "crud")
+    return resolve.accesses_of(accesses(spark, d), wanted, "entity").select("entity", "member", "line_no", "crud")
 
 
 CITED = """raw as (select doc_id, 'see [[D' || (doc_id % 50) || ':' || (doc_id % 97 + 1) || ']] and [[d' || (doc_id % 61) || ':9-' || (doc_id % 13 + 1) || ']] or [[D' || (doc_id % 1999) || ']]' as body from documents),
@@ -259,7 +261,7 @@ def J13_cited_lines(spark, d):
 def J14_unknown_references(spark, d):
     ref = lambda p: p.select(F.concat(F.upper("p_brand"), F.lit(":"), F.col("p_size").cast("string")).alias("ref"))
     p = parts(spark, d)
-    return ref(p).distinct().join(ref(p.where("p_partkey % 3 = 0")).distinct(), "ref", "left_anti")
+    return resolve.unknown_references(ref(p), ref(p.where("p_partkey % 3 = 0")), "ref")
 
 
 @query("""with l as (select distinct l_partkey as id from lineitem where l_quantity > 45), r as (select p_partkey as id from part where p_size < 20)
@@ -272,27 +274,27 @@ def J15_manifest_difference(spark, d):
 @query("select a.doc_id, a.quality as human, b.toxic as llm from labels a join labels b using (doc_id) where a.doc_id % 2 = 0 and b.doc_id % 3 = 0")
 def J16_both_verdicts(spark, d):
     rows = table(spark, d, "labels")
-    return rows.where("doc_id % 2 = 0").select("doc_id", F.col("quality").alias("human")).join(rows.where("doc_id % 3 = 0").select("doc_id", F.col("toxic").alias("llm")), "doc_id")
+    return resolve.both_judged(rows.where("doc_id % 2 = 0").select("doc_id", F.col("quality").alias("human")), rows.where("doc_id % 3 = 0").select("doc_id", F.col("toxic").alias("llm")), "doc_id")
 
 
 @query("select o_orderkey, c_mktsegment from orders join customer on o_custkey = c_custkey where c_mktsegment = 'BUILDING'")
 def J17_gaps_by_dialect(spark, d):
     c = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_mktsegment")
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_mktsegment")
+    return resolve.facts_of_members(o, c, "o_custkey", "c_custkey", ["c_mktsegment"]).select("o_orderkey", "c_mktsegment")
 
 
 @query("select l_orderkey, l_linenumber, o_orderstatus from lineitem join orders on l_orderkey = o_orderkey where l_quantity = 50")
 def J18_cases_of_members(spark, d):
     li = table(spark, d, "lineitem").where("l_quantity = 50").select("l_orderkey", "l_linenumber")
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    return li.join(o, li.l_orderkey == o.o_orderkey).select("l_orderkey", "l_linenumber", "o_orderstatus")
+    return resolve.facts_of_members(li, o, "l_orderkey", "o_orderkey", ["o_orderstatus"]).select("l_orderkey", "l_linenumber", "o_orderstatus")
 
 
 @query("select l_orderkey, l_linenumber, l_partkey from lineitem where l_orderkey in (select o_orderkey from orders where o_orderpriority = '1-URGENT')")
 def J19_facts_of_batch(spark, d):
-    ids = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(ids, "l_orderkey", "left_semi")
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    return resolve.facts_in_batch(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), urgent, "l_orderkey", "o_orderkey")
 
 
 def calls(spark, d):
@@ -364,7 +366,7 @@ def U07_name_holders(spark, d):
 
 @query("select c_name, min(c_custkey) as id from customer where c_nationkey < 20 group by c_name having count(*) = 1")
 def U08_unambiguous(spark, d):
-    return table(spark, d, "customer").where("c_nationkey < 20").groupBy("c_name").agg(F.min("c_custkey").alias("id"), F.count("*").alias("n")).where("n = 1").drop("n")
+    return resolve.unambiguous(table(spark, d, "customer").where("c_nationkey < 20"), "c_name").select("c_name", F.col("c_custkey").alias("id"))
 
 
 @query("""with r as (select user_id, ts, event_id, printf('%d:BR-%03d', user_id, row_number() over (partition by user_id order by ts, event_id)) as rule_id, event_type from events)
@@ -387,7 +389,7 @@ def nested_events(spark, d):
 
 
 @query(f"with {DEPTHS} select event_id, depth from dep")
-def X17_nesting_depth(spark, d):
+def W02_nesting_depth(spark, d):
     return nested_events(spark, d).select("event_id", "depth")
 
 

@@ -9,26 +9,50 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MOST_BYTES = 50 * 1024 * 1024
 EBCDIC = ("cp037", "cp500", "cp1047", "cp285", "cp273")
 
-#: Signature words of each dialect, in the order that settles ties; counted at the start of a line or word.
+#: Signatures of each dialect, in the order that settles ties.
 DIALECTS = [
-    ("jcl", r"(?m)^//[A-Z0-9@#$]* +(?:JOB|EXEC|DD)(?= |$)"),
-    ("cics_csd", r"(?mi)^ *DEFINE +[A-Z]+ *\("),
-    ("sql_ddl", r"(?mi)^ *CREATE +(?:UNIQUE +)?(?:TABLE|INDEX) "),
-    ("cobol_copybook", r"(?mi)^.{0,7} *[0-9]{2} +[A-Z0-9-]+.* PIC(?:TURE)? "),
-    ("supra_dir", r"(?mi)^ *(?:DATA-SET NAME|CONTROL KEY|LINKPATH NAME) *:"),
-    ("adabas_fdt", r"(?mi)^ *(?:FILE NUMBER|[0-9] *\| *[A-Z][A-Z0-9] *\|)"),
-    ("ddm", r"(?mi)^ *(?:DDM |DEFAULT SEQUENCE|DB: *[0-9]+ +FILE: *[0-9]+)"),
-    ("mantis", r"(?mi)^ *(?:PROGRAM|ENTRY|EXIT|SHOW|CONVERSE|OBTAIN|EXTERNAL)(?= |$)"),
-    ("natural", r"(?mi)^ *(?:DEFINE DATA|END-(?:IF|READ|FIND|DEFINE|SUBROUTINE|DECIDE)|CALLNAT|FETCH|REINPUT|LOCAL|ESCAPE)(?= |$)"),
+    ("jcl", r"(?m)^//\S*\s+(JOB|EXEC|DD)\b"),
+    ("cics_csd", r"(?mi)^\s*DEFINE\s+(PROGRAM|TRANSACTION|FILE|MAPSET)\s*\("),
+    ("adabas_fdt", r"(?mi)FIELD\s+DEFINITION\s+TABLE|^\s*\d+\s+[A-Z0-9]{2}\s+\d+\s+[ABPUFGIL]\s"),
+    ("ddm", r"(?mi)^\s*(DDM\s+NAME|DEFAULT\s+SEQUENCE|DB\s*:\s*\d+\s+FILE\s*:\s*\d+)"),
+    ("supra_dir", r"(?i)\b(LINKPATH|DATA-?SET\s+NAME|PRIMARY\s+DATA\s*SET|RELATED\s+DATA\s*SET|ELEMENT\s+NAME)\b"),
+    ("sql_ddl", r"(?mi)^\s*CREATE\s+(TABLE|UNIQUE\s+INDEX|INDEX|VIEW|TABLESPACE)\b"),
+    ("natural", r"(?mi)^\s*(DEFINE\s+DATA\b|END-DEFINE\b|CALLNAT\b|FETCH\s+RETURN\b)"),
+    ("mantis", r"(?mi)^\s*(ENTRY\b|CONVERSE\b|OBTAIN\b|EXIT\s*$|PROGRAM\s+\"|EXTERNAL\b)"),
+    ("cobol_copybook", r"(?mi)^\s*\d\d\s+[A-Z0-9\-]+\s+(PIC|PICTURE)\s"),
 ]
+#: Lines that begin a member in a file of several, by dialect; the groups hold the name and, if any, the type.
+BANNERS = {
+    "natural": [
+        (r"(?i)^\*+\s*>{2,}\s*(?:(\w+)\s+)?([A-Z0-9#\-_&$]{1,32})\s*<{2,}", 2, 1),
+        (r"(?i)^\s*\*\s*MEMBER\s*[:=]\s*([A-Z0-9#\-_&$]{1,32})", 1, 0),
+        (r"(?i)^--+\s*([A-Z0-9#\-_&$]{1,32})\s*\(([A-Z]{1,12})\)\s*--+", 1, 2),
+    ],
+    "mantis": [(r"(?i)^\s*PROGRAM\s+\"([^\"]{1,40})\"", 1, 0), (r"(?i)^\s*\*\s*MANTIS\s+(?:PROGRAM|OBJECT)\s*[:=]\s*(\S{1,40})", 1, 0)],
+    "jcl": [(r"^//([A-Z0-9#@$]{1,8})\s+JOB\b", 1, 0)],
+}
+#: Dialects whose banners come from an unload utility and are no lines of the member.
+UTILITY_BANNERS = ("natural",)
+#: Object types by file ending and by a banner's type code.
+TYPE_OF_ENDING = {
+    "nsp": "program", "nsn": "subprogram", "nss": "subroutine", "nsc": "copycode", "nsh": "helproutine", "nsm": "map", "nsl": "lda", "nsg": "gda", "nsa": "pda",
+    "nst": "text", "nsd": "ddm", "nsx": "class",
+}
+TYPE_OF_CODE = {
+    "P": "program", "PROGRAM": "program", "N": "subprogram", "SUBPROGRAM": "subprogram", "S": "subroutine", "SUBROUTINE": "subroutine", "C": "copycode", "COPYCODE": "copycode",
+    "H": "helproutine", "HELPROUTINE": "helproutine", "M": "map", "MAP": "map", "L": "lda", "LDA": "lda", "LOCAL": "lda", "G": "gda", "GDA": "gda", "GLOBAL": "gda",
+    "A": "pda", "PDA": "pda", "PARAMETER": "pda", "T": "text", "TEXT": "text", "V": "ddm", "DDM": "ddm", "VIEW": "ddm",
+}
+#: Types of members of the other dialects.
+TYPE_OF_DIALECT = {"mantis": "program", "jcl": "job", "sql_ddl": "ddl", "cobol_copybook": "copybook", "cics_csd": "csd", "adabas_fdt": "fdt", "ddm": "ddm", "supra_dir": "directory"}
 EXTENSIONS = {
-    "nsp": "natural", "nsn": "natural", "nss": "natural", "nsc": "natural", "nsm": "natural", "nsl": "natural", "mantis": "mantis", "man": "mantis", "ddm": "ddm",
+    "nsp": "natural", "nsn": "natural", "nss": "natural", "nsc": "natural", "nsm": "natural", "nsl": "natural", "nsg": "natural", "nsa": "natural", "nsh": "natural", "mantis": "mantis", "man": "mantis", "ddm": "ddm",
     "fdt": "adabas_fdt", "dir": "supra_dir", "sql": "sql_ddl", "ddl": "sql_ddl", "cpy": "cobol_copybook", "jcl": "jcl", "csd": "cics_csd", "txt": None, "src": None,
 }
 
@@ -126,6 +150,79 @@ def member_name(path: Column) -> tuple[Column, Column]:
     return name, F.try_element_at(table, first)
 
 
+def source_sets(spark: SparkSession, sets: list[dict]) -> DataFrame:
+    """The files of all source sets, each once: as read_files(), with the set's dialect, library, system and sequence setting.
+
+    A set has path (a file or folder), glob (one or a list; all files if none), and optionally dialect, library, system,
+    encoding and sequence_columns: auto, none, or FROM:TO. A file in several sets belongs to the first.
+    """
+    out = None
+    for k, s in enumerate(sets):
+        globs = s.get("glob") or ["*"]
+        names = [g.rsplit("/", 1)[-1] for g in ([globs] if isinstance(globs, str) else globs)]
+        files = read_files(spark, s["path"], names[0] if len(names) == 1 else "{" + ",".join(names) + "}", s.get("encoding"))
+        given = {c: F.lit(s.get(c)).cast("string") for c in ("dialect", "library", "system")}
+        files = files.withColumns(given | {"sequence": F.lit(str(s.get("sequence_columns", "auto"))), "_set": F.lit(k)})
+        out = files if out is None else out.unionByName(files)
+    first = Window.partitionBy("path").orderBy("_set")
+    return out.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_set")
+
+
+def strip_by_setting(rows: DataFrame, key: str, text: str, setting: str) -> DataFrame:
+    """rows without sequence columns: found by counting where the setting is auto, cut at FROM where it is FROM:TO, kept if none."""
+    found = sequence_columns(rows.where(F.col(setting) == "auto"), key, text)
+    given = F.try_to_number(F.regexp_extract(setting, r"^([0-9]+):[0-9]+$", 1), F.lit("999")).cast("int")
+    cut = F.when(given.isNotNull(), F.rtrim(F.expr(f"substring(`{text}`, 1, cast(regexp_extract(`{setting}`, '^([0-9]+):', 1) as int) - 1)"))).otherwise(F.col(text))
+    return strip_sequence(rows.withColumn(text, cut), found, key, text)
+
+
+def banner(dialect: Column, line: Column) -> tuple[Column, Column]:
+    """(name, type code) where a line begins a member, else null."""
+    name, code = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for d, patterns in BANNERS.items():
+        for pattern, of_name, of_code in patterns:
+            hit = (dialect == d) & line.rlike(pattern)
+            name = F.coalesce(name, F.when(hit, F.upper(F.regexp_extract(line, pattern, of_name))))
+            code = F.coalesce(code, F.when(hit, F.nullif(F.upper(F.regexp_extract(line, pattern, of_code)), F.lit("")))) if of_code else code
+    return name, code
+
+
+def split_members(files: DataFrame) -> DataFrame:
+    """name, code, path, first_line, text: the members of each file (path, name, dialect, sequence, text), by their banners.
+
+    A member's lines are numbered anew. Comment lines before the first banner go with the first member. Windows are over one
+    file, of at most MOST_BYTES.
+    """
+    from lodestrata.operators import structure
+
+    rows = files.select("path", "name", "dialect", "sequence", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
+    rows = strip_by_setting(rows, "path", "line", "sequence")
+    name, code = banner(F.col("dialect"), F.col("line"))
+    rows = rows.withColumns({"_name": name, "_code": code})
+    rows = structure.segments(rows, "path", "pos", F.col("_name").isNotNull())
+    of_segment = Window.partitionBy("path", "segment")
+    rows = rows.withColumns({"member": F.coalesce(F.max("_name").over(of_segment), "name"), "code": F.max("_code").over(of_segment)})
+    rows = rows.where(F.col("_name").isNull() | ~F.col("dialect").isin(*UTILITY_BANNERS))
+    rows = structure.merge_preambles(rows, "path", "pos", F.col("line").rlike(r"(?i)^\s*[A-Z0-9]"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    last = F.struct("pos", "member", "code")  # of a merged preamble, the member's own name
+    out = rows.groupBy("path", "segment").agg(F.max_by("member", last).alias("name"), F.max_by("code", last).alias("code"), (F.min("pos") + 1).cast("long").alias("first_line"), text.alias("text"))
+    return out.drop("segment")
+
+
+def infer_type(text: Column, path: Column, dialect: Column, code: Column | None = None) -> Column:
+    """A member's object type: a banner's code, else what its first 200 lines show, else its ending, else its dialect."""
+    head = F.array_join(F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, 200), "\n")
+    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    ending = F.try_element_at(table(TYPE_OF_ENDING), F.lower(F.regexp_extract(path, r"(?i)\.(ns[a-z])(?:\.[a-z]+)*$", 1)))
+    has = lambda p: head.rlike(rf"(?mi)^\s*{p}")
+    routine = has(r"DEFINE\s+SUBROUTINE\b") & ~has(r"(?:DEFINE\s+DATA|END\s*$)")
+    takes = has(r"DEFINE\s+DATA\s+PARAMETER\b") | has(r"PARAMETER\s*$")
+    shown = F.when(routine, "subroutine").when(takes, F.coalesce(ending, F.lit("subprogram"))).otherwise(F.coalesce(ending, F.when(has(r"DEFINE\s+DATA\b"), "program")))
+    coded = F.try_element_at(table(TYPE_OF_CODE), code) if code is not None else F.lit(None).cast("string")
+    return F.when(dialect == "natural", F.coalesce(coded, shown)).otherwise(F.try_element_at(table(TYPE_OF_DIALECT), dialect))
+
+
 def object_type(rules: list[tuple[str, Column]], default: str = "program") -> Column:
     """The type of the first rule that holds."""
     return F.coalesce(*[F.when(test, F.lit(name)) for name, test in rules], F.lit(default))

@@ -19,7 +19,7 @@ def test_ingest_derive_gate_export(spark, tmp_path, capsys):
     assert (got["members"], got["invocation_edges"], got["invocations_resolved"], got["unparsed_lines"]) == (3, 3, 2, 1)
     s = plans.FactStore(spark, store)
     gaps = {(r.kind, r.detail) for r in s["derived_gap"].collect()}
-    assert {("unresolved_call", "GONE"), ("no_ddl_for_entity", "ORDERS"), ("orphan_module", "JOB")} == gaps
+    assert {("unresolved_call", "GONE"), ("no_ddl_for_entity", "ORDERS"), ("orphan_module", "J")} == gaps  # the job card names the member
     assert [(r.line_no, r.boundary, r.entity) for r in s["transaction_scope"].collect()] == [(6, 8, "ORDERS")]
     lines = {(r.member, r.line_no): r.line for r in s["source_line"].collect()}
     assert all(lines["MAIN", k + 1] == t for k, t in enumerate(MAIN.split("\n")))

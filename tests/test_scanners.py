@@ -51,10 +51,10 @@ def test_natural_unclosed_block_is_a_gap():
 
 
 def test_mantis():
-    s = S.scan_mantis(['PROGRAM "ORDENQ"', "| comment", 'CUSTVIEW ACCESS("X")', "IF STATUS=1", ".GET CUSTREC", ".CONVERSE ORDMAP", "END", "ENDTR", 'CHAIN "LIB:NEXTPGM"'])
+    s = S.scan_mantis(['PROGRAM "ORDENQ"', "* comment", 'CUSTVIEW ACCESS("X")', "IF STATUS=1", ".GET CUSTREC", ".CONVERSE ORDMAP", "END", "ENDTR", 'CHAIN "LIB:NEXTPGM"'])
     assert [(r[2], r[3]) for r in rows(s, "access")] == [("GET", "CUSTREC")]
     assert [(r[2], r[3]) for r in rows(s, "call")] == [("INCLUDE", "ORDMAP"), ("CHAIN", "NEXTPGM")]
-    assert rows(s, "transaction")[0][4] == "END"
+    assert rows(s, "transaction")[0][4] == "ENDTR"
     assert [r[6] for r in rows(s, "rule")] == [0]
 
 
