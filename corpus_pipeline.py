@@ -1,7 +1,10 @@
 """From raw documents to token counts: quality rules, near-duplicates, personal data, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; run() writes each stage's rows to the
-shared folder and reads them again. All stages but the last return the columns of documents.
+shared folder and reads them again. All stages but the last return the columns of documents, extra ones of any name included.
+
+Null and empty texts fail the quality stage. Rows of null doc_id stay in near-duplicates; of repeated rows of one doc_id one
+stays there. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,7 +49,7 @@ STAGES = [
     ("byte_bpe", encoding),
 ]
 
-#: EM, minhash, the tagger and BPE have no SQL; tests/llm compare each stage with a brute-force version.
+#: EM, minhash, the tagger and BPE have no SQL; tests/llm compare run() with plain versions of its stages on a small table.
 ORACLE_SQL = None
 
 
