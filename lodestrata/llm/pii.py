@@ -10,7 +10,8 @@ emissions are blended, so that each text has one emission a character. One Viter
 Stretches that no path can leave the tag "none" for with profit are found from running sums first (a bound, so the path
 stays exact) and only the rest is searched. The patterns' spans always stay. A span of the path is added where it overlaps
 none of those, stands free of letters and digits, and its tags beat "none" by MARGIN nats; a card number's check digit must be
-right, and a telephone number has at most 15 digits. Nothing else decides what the model may find.
+right, a telephone number has at most 15 digits, and no added span
+is longer than the windows that the model learned from. Nothing else decides what the model may find.
 
 The squashing function is x / sqrt(1 + x^2), for the gates shifted to (0, 1): one that numpy computes fast.
 
@@ -519,7 +520,7 @@ def added_spans(text: str, runs: list[tuple[int, int, int, float]], base: list[S
         while b > a and text[b - 1] in " \n\t.,;:":
             b -= 1
         free = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
-        if a >= b or nats < MARGIN or not free or any(p < b and a < q for p, q in taken):
+        if a >= b or b - a > TRAIN or nats < MARGIN or not free or any(p < b and a < q for p, q in taken):
             continue
         d = _digits(text[a:b])
         if KINDS[kind] == "card" and not (13 <= len(d) <= 19 and luhn(d)) or KINDS[kind] == "phone" and len(d) > 15:
