@@ -3,8 +3,10 @@
 from collections import Counter
 
 import pyarrow.parquet as pq
+import pytest
 
-from lodestrata.plans import more_queries  # noqa: F401  registers its queries
+from lodestrata.operators import resolve
+from lodestrata.plans import materialise, more_queries  # noqa: F401  more_queries registers its queries
 from lodestrata.plans import queries as core
 
 DATA = "/root/testdata/sf0.001"
@@ -36,3 +38,43 @@ def test_closures_are_whole(spark, tmp_path):
     assert {r.node: r.depth for r in core.QUERIES["G01_call_closure_full"](spark, str(tmp_path)).collect()} == depth
     want = {(m, m >> k, k) for m in range(2, n + 1) for k in range(1, 13) if m >> k}
     assert {tuple(r) for r in core.QUERIES["J11_include_closure_all"](spark, str(tmp_path)).select("member", "node", "depth").collect()} == want
+
+
+def plain_closure(name, n):
+    """The rows of a closure query over the parts 1 to n."""
+    if name == "J11_include_closure":
+        return {(m, m >> k, k) for m in range(50, n + 1, 50) for k in range(1, 13) if m >> k}
+    depth, front = {1: 0}, {1}
+    for k in range(1, 9 if name == "G01_call_closure" else 13):
+        front = {t for s in front for t in ((s * 7 + 3) % n + 1, (s * 3 + 11) % n + 1)} - set(depth)
+        depth |= dict.fromkeys(front, k)
+    return set(depth.items())
+
+
+def broadcasts(plan):
+    """Rows of each broadcast in an executed plan."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "BroadcastExchangeExec":
+        yield plan.metrics().apply("numOutputRows").value()
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    for p in below:
+        yield from broadcasts(p)
+
+
+@pytest.mark.parametrize("few", [100_000, 50])
+@pytest.mark.parametrize("name", ["G01_call_closure_full"])
+def test_closures_broadcast_no_edges(spark, tmp_path, monkeypatch, name, few):
+    """Frontiers are broadcast up to a fixed number of rows, edges never: what is sent to the driver does not grow with them."""
+    n, sent, cut = 20_000, [], materialise.cut
+
+    def recorded(df):
+        out = cut(df)
+        sent.extend(broadcasts(df._jdf.queryExecution().executedPlan()))
+        return out
+
+    spark.range(1, n + 1).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(materialise, "cut", recorded)
+    monkeypatch.setattr(resolve, "FEW", few, raising=False)
+    got = core.QUERIES[name](spark, str(tmp_path)).collect()
+    assert sent and max(sent) <= min(few, len(got)) < n
+    assert {tuple(r) for r in got} == {tuple(r) for r in plain_closure(name, n)}
