@@ -62,7 +62,7 @@ def broadcasts(plan):
 
 
 @pytest.mark.parametrize("few", [100_000, 50])
-@pytest.mark.parametrize("name", ["G01_call_closure_full"])
+@pytest.mark.parametrize("name", ["G01_call_closure_full", "G01_call_closure"])
 def test_closures_broadcast_no_edges(spark, tmp_path, monkeypatch, name, few):
     """Frontiers are broadcast up to a fixed number of rows, edges never: what is sent to the driver does not grow with them."""
     n, sent, cut = 20_000, [], materialise.cut
